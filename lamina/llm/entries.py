@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_best_fit_packing
 from .separators import op6_separator_scan
+from .simhash import op3_simhash_dedup
+from .urlfilter import ORACLE_SQL as URL_SQL
+from .urlfilter import op10_url_trie
 from .vbyte import op9_ranked_vbyte
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_separator_scan, op8_best_fit_packing, op9_ranked_vbyte)}
+    return {f.__name__: f for f in (op3_simhash_dedup, op6_separator_scan, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_trie": URL_SQL}
