@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import op7_ngram_logistic
+from .decontaminate import ORACLE_SQL as WINNOWING_SQL
+from .decontaminate import op1_winnowing
 from .packing import op8_best_fit_packing
 from .quality_rules import op2_quality_rules
 from .separators import op6_separator_scan
@@ -17,8 +19,8 @@ from .vbyte import op9_ranked_vbyte
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_simhash_dedup, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
+    return {f.__name__: f for f in (op1_winnowing, op2_quality_rules, op3_simhash_dedup, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_trie": URL_SQL}
+    return {"op1_winnowing": WINNOWING_SQL, "op10_url_trie": URL_SQL}
