@@ -103,7 +103,7 @@ def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | N
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), b.column(0), pa.array(start), *b.columns[1:]], ["part", "doc_id", "start_in_part", "n_tokens", "control", "data"])
 
     # Ranges of doc_id, each sorted; rows that repeat an id are dealt and ordered by their content.
-    order = ["doc_id", F.xxhash64("data"), "data", "control"]
+    order = ["doc_id", F.xxhash64("data", "control")]
     ranges = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     ranges.mapInArrow(place, "part long, doc_id long, start_in_part long, n_tokens long, control binary, data binary").write.parquet(f"{path}/ids")
     discard(coded)
