@@ -10,6 +10,7 @@ from .classifier import op7_ngram_logistic
 from .decontaminate import ORACLE_SQL as WINNOWING_SQL
 from .decontaminate import op1_winnowing
 from .packing import op8_best_fit_packing
+from .pii import op4_feistel_pseudonyms
 from .quality_rules import op2_quality_rules
 from .separators import op6_separator_scan
 from .simhash import op3_simhash_dedup
@@ -19,7 +20,7 @@ from .vbyte import op9_ranked_vbyte
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_quality_rules, op3_simhash_dedup, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
+    return {f.__name__: f for f in (op1_winnowing, op2_quality_rules, op3_simhash_dedup, op4_feistel_pseudonyms, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
