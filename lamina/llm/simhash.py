@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..scratch import materialize
+from ..scratch import discard, materialize
 from .components import components
 from .tokens import short_batches
 
@@ -55,15 +56,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+    """(doc_id, h, fp): h is the xxhash64 of the text, fp the fingerprint as a signed 64-bit number."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _ball(radius: int) -> Column:
@@ -94,22 +96,48 @@ def links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     return near.union(seekers.join(members, ["key", "word"]).where("a <> b").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classed(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(marked, classes): marked has doc_id, h and fp of each row, classes the root of each distinct fp."""
+    marked = materialize(fingerprints(docs, **options), "fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(_rank()).alias("least")), "distinct")
+    found = materialize(links(fps.select("fp")).distinct(), "links")
+    roots = components(found)  # of fingerprints with links only
+    discard(found)
+    return marked, fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _rank() -> Column:
+    """Orders rows by doc_id, nulls last, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest doc_id reachable through links, its own included.
 
-    Texts without words (null, empty) share fingerprint 0 and link like any other. Repeated rows share a
-    class; null doc_ids keep their class but never name it (a class of null ids alone has a null
-    component_id). An empty table gives no rows. Other columns are not read.
+    Options: shingle, id_col, text_col. Texts without words (null, empty) share fingerprint 0 and link like
+    any other. Repeated rows share a class; null doc_ids keep their class but never name it (a class of null
+    ids alone has a null component_id). An empty table gives no rows. Other columns are not read.
     """
-    marked = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(materialize(links(fps.select("fp")).distinct(), "links"))  # (node, root), nodes with links only
-    classes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    marked, classes = _classed(docs, **options)
+    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``docs`` (doc_id, text), with all its columns: that of the smallest doc_id.
+
+    Of rows that share it, the one with the smallest hash of its text stays, and of exact repeats one. Texts
+    without words are one class; null ids come last, and a class of null ids keeps one row.
+    """
+    _, classes = _classed(docs)
+    best = classes.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("d"), F.col("x.h").alias("dh"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
+    kept = rows.join(best, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1)))
+    return kept.withColumn("n", first).where("n = 1").select("row.*")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of the whole documents table."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
