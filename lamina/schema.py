@@ -1,0 +1,20 @@
+"""Schemas of the domain tables: file-history metadata as event-sourced snapshots."""
+
+from __future__ import annotations
+
+PRESENT, DELETED = 1, 0
+#: Mode of a directory row; everything else is a file.
+DIR_MODE = 0o040000
+
+TABLES = {
+    "repositories": "id bigint, name string, description string, config string, created_at timestamp, updated_at timestamp",
+    "snapshots": "id bigint, repository_id bigint, parent_id bigint, message string, metadata string, source_machine_id smallint, source_snapshot_id bigint, root_object_id bigint, created_at timestamp",
+    "entries": "id bigint, snapshot_id bigint, path string, status smallint, object_id bigint, mode int, depth smallint, mtime timestamp, created_at timestamp",
+    "entry_cache": "repository_id bigint, path string, snapshot_id bigint, entry_id bigint, status smallint, object_id bigint, mtime timestamp, digest binary, size bigint, fast_digest bigint, depth smallint, mode int, updated_at timestamp",
+    "objects": "id bigint, digest binary, size bigint, fast_digest bigint, created_at timestamp",
+    "stores": "id bigint, name string, url string, config string, created_at timestamp, updated_at timestamp",
+    "replicas": "id bigint, object_id bigint, store_id bigint, path string, encrypted boolean, verified_at timestamp, created_at timestamp",
+    "tags": "id bigint, object_id bigint, key string, value string, created_at timestamp",
+    "machines": "machine_id smallint, name string, description string, last_seen_at timestamp, created_at timestamp",
+    "sync_peers": "id bigint, name string, url string, repository_id bigint, last_synced_at timestamp, last_snapshot_id bigint, config string, created_at timestamp, updated_at timestamp",
+}
