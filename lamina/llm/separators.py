@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scratch import fresh_path
+from ..scratch import exists, fresh_path
 from .tokens import default_tokenizer, encoder, short_batches
 
 #: End-of-document id: above the vocabulary (so that no text makes it) and, as two bytes, the character
@@ -27,37 +27,32 @@ END_ID, END_CHAR = 0xC480, "\u0100"
 BLOCK_IDS = 1 << 16
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str, parts: int | None) -> DataFrame:
-    """Documents with the file (part) they go to, and the keys that order them there: all from their content."""
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return one.withColumn("order", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("doc_id", "order"), F.lit(n)).cast("int"))
-
-
-def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Tokenize whole texts and write flat files below ``path``, one in each folder ``part=N``.
+def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Tokenize whole texts and write flat files to ``path/kind=tokens``, in one pass and without a shuffle.
 
     Spark's text writer puts the bytes of each document and the end id as its line separator, so the
-    files are committed like any other output and may lie in any store that Spark writes. The place of
-    a document is a function of its id and text: part by hash, then ascending doc_id. Null and empty texts
-    become documents without ids; repeated rows are written each. The vocabulary must lie below 50304.
+    files are committed like any other output and may lie in any store that Spark writes. ``path/kind=order``
+    gets, from the same task, a file of the same name with the documents' ids in the same order. Null and empty
+    texts become documents without ids; repeated rows are written each. The vocabulary must lie below 50304.
     """
     file = tokenizer or default_tokenizer()
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        enc, at = encoder(file), 0
         for b in batches:
             rows = [np.frombuffer(x, "<u4") for x in enc.encode(b.column(1).to_pylist())]
             if any(len(x) and x.max() >= END_ID for x in rows):
                 raise ValueError(f"ids must be below {END_ID}")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(">u2").tobytes() for x in rows], pa.binary())], ["part", "ids"])
+            names = [b"" if x is None else str(x).encode() for x in b.column(0).to_pylist()]
+            n = len(rows)
+            kind, row = ["tokens"] * n + ["order"] * n, [*range(at, at + n)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(row, pa.int64()), pa.array([x.astype(">u2").tobytes() for x in rows] + names, pa.binary())], ["kind", "row", "value"])
+            at += n
 
-    rows = _ordered(docs, id_col, text_col, parts)
-    sorted_ = rows.repartition(F.col("part")).sortWithinPartitions("part", "doc_id", "order", "text")
-    out = sorted_.select("part", "text").mapInArrow(run, "part int, ids binary")
-    out.select("part", F.col("ids").cast("string").alias("value")).write.partitionBy("part").option("lineSep", END_CHAR).text(path)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, row long, value binary")
+    lines = out.sortWithinPartitions("kind", "row").select("kind", F.col("value").cast("string").alias("value"))
+    lines.write.partitionBy("kind").option("lineSep", END_CHAR).text(path)
 
 
 def scan_flat(spark: SparkSession, path: str, *, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -95,17 +90,21 @@ def scan_flat(spark: SparkSession, path: str, *, end_id: int = END_ID, block_ids
     return found.select("file", "before", F.posexplode(each).alias("k", "x")).select("file", (F.col("before") + F.col("k")).alias("row"), "x.start", "x.n_tokens", "x.ended")
 
 
-def count_tokens(docs: DataFrame, path: str, *, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens): writes the flat files below ``path`` and counts by scanning them.
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens): writes the flat files to ``path`` and counts by scanning them.
 
-    The files name no document; their order does, since it follows from ids and texts alone.
     Null and empty texts count 0; a null doc_id stays; repeated rows count each; an empty table gives no rows.
     """
-    write_flat(docs, path, tokenizer=tokenizer, parts=parts, id_col=id_col, text_col=text_col)
-    scanned = scan_flat(docs.sparkSession, path).withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1).cast("int"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "order")) - 1
-    named = _ordered(docs, id_col, text_col, parts).select("doc_id", "order", "part").withColumn("row", place.cast("long"))
-    return named.join(scanned.select("part", "row", "n_tokens"), ["part", "row"]).select("doc_id", "n_tokens")
+    spark = docs.sparkSession
+    write_flat(docs, path, tokenizer=tokenizer, id_col=id_col, text_col=text_col)
+    if not exists(spark, f"{path}/kind=order"):  # no document
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
+    name = lambda c: F.substring_index(c, "/", -1).alias("name")
+    order = spark.read.format("binaryFile").load(f"{path}/kind=order")
+    order = order.select(name("path"), F.posexplode(F.split(F.col("content").cast("string"), END_CHAR)).alias("row", "id"))
+    order = order.select("name", F.col("row").cast("long").alias("row"), F.col("id").try_cast("long").alias("doc_id"))
+    counts = scan_flat(spark, f"{path}/kind=tokens").select(name("file"), "row", "n_tokens")
+    return order.join(counts, ["name", "row"]).select("doc_id", "n_tokens")
 
 
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
