@@ -22,9 +22,9 @@ class _Slice(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
-        self.skip_git = options.get("skipGit", "true") == "true"
-        self.ignore = options.get("ignoreFiles", "true") == "true"
+        self.root = options["path"]  # the keys come in lower case
+        self.skip_git = options.get("skipgit", "true") == "true"
+        self.ignore = options.get("ignorefiles", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         """The files at the top, and each directory there with all below it."""
