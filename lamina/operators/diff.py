@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from . import state
 
 
-def side(entries: DataFrame, snapshot_id: int, mode: str, prefix: str = "") -> DataFrame:
-    """Present paths of a snapshot: its own delta rows (mode "delta") or the state it stands for ("state")."""
+def side(entries: DataFrame, snapshot_id: int, mode: str, prefix: str = "", repository_id: int | None = None) -> DataFrame:
+    """Present paths of a snapshot: its own delta rows (mode "delta") or the state it stands for ("state").
+
+    A repository that is given is not looked up, and prunes the scan.
+    """
+    entries = entries if repository_id is None else entries.where(F.col("repository_id") == repository_id)
     if mode == "delta":
         rows = entries.where((F.col("snapshot_id") == snapshot_id) & (F.col("status") == 1))
     elif mode == "state":
-        rows = state.as_of(entries, snapshot_id)
+        rows = state.as_of(entries, snapshot_id) if repository_id is None else state.as_of_in(entries, repository_id, snapshot_id)
     else:
         raise ValueError(f"mode is delta or state, not {mode!r}")
     return rows.where(F.col("path").startswith(prefix)) if prefix else rows
 
 
-def snapshot_diff(entries: DataFrame, objects: DataFrame, left: int, right: int, *, mode: str = "state", prefix: str = "") -> DataFrame:
+def snapshot_diff(entries: DataFrame, objects: DataFrame, left: int, right: int, *, mode: str = "state", prefix: str = "", repository_id: int | None = None) -> DataFrame:
     """(path, change, size_before, size_after): A only right, D only left, M on both with other content; equal paths are left out."""
     sizes = objects.select("object_id", "size")
-    part = lambda s, k: side(entries, s, mode, prefix).join(sizes, "object_id", "left").select("path", F.col("object_id").alias(f"o_{k}"), F.col("size").alias(f"size_{k}"), F.lit(True).alias(f"in_{k}"))
+    part = lambda s, k: side(entries, s, mode, prefix, repository_id).join(sizes, "object_id", "left").select("path", F.col("object_id").alias(f"o_{k}"), F.col("size").alias(f"size_{k}"), F.lit(True).alias(f"in_{k}"))
     rows = part(left, "before").join(part(right, "after"), "path", "full_outer")
     change = F.when(F.col("in_before").isNull(), "A").when(F.col("in_after").isNull(), "D").when(~F.col("o_before").eqNullSafe(F.col("o_after")), "M")
     return rows.select("path", change.alias("change"), "size_before", "size_after").where("change is not null")
@@ -32,9 +36,9 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 
 
-def by_object(entries: DataFrame, left: int, right: int, *, mode: str = "state", prefix: str = "") -> DataFrame:
+def by_object(entries: DataFrame, left: int, right: int, *, mode: str = "state", prefix: str = "", repository_id: int | None = None) -> DataFrame:
     """(object_id, left_paths, right_paths): where each content is on either side, paths sorted."""
-    tagged = lambda s, k: side(entries, s, mode, prefix).select("object_id", "path", F.lit(k).alias("side"))
+    tagged = lambda s, k: side(entries, s, mode, prefix, repository_id).select("object_id", "path", F.lit(k).alias("side"))
     return _paths_by_object(tagged(left, 1).union(tagged(right, 2)))
 
 

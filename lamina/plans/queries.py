@@ -240,17 +240,17 @@ DELTAS = tuple(f"{k} AS (SELECT path, object_id FROM f_entries WHERE snapshot_id
 
 @query(DIFF, *DELTAS)
 def snapshot_diff_delta(d: Domain) -> DataFrame:
-    return diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT, mode="delta")
+    return diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT, mode="delta", repository_id=REPO)
 
 
 @query(DIFF, *STATES)
 def snapshot_diff_state(d: Domain) -> DataFrame:
-    return diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT, mode="state")
+    return diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT, repository_id=REPO)
 
 
 @query(f"SELECT change, count(*) AS n FROM ({DIFF}) x GROUP BY change", *STATES)
 def diff_counts(d: Domain) -> DataFrame:
-    return diff.diff_counts(diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT))
+    return diff.diff_counts(diff.snapshot_diff(d.entries, d.objects, LEFT, RIGHT, repository_id=REPO))
 
 
 GROUPED = """g AS (SELECT object_id, coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE side = 1), '') AS left_paths, coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE side = 2), '') AS right_paths
@@ -263,12 +263,12 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 @query("SELECT object_id, left_paths, right_paths FROM g", *STATES, GROUPED)
 def diff_by_object(d: Domain) -> DataFrame:
-    return _texts(diff.by_object(d.entries, LEFT, RIGHT))
+    return _texts(diff.by_object(d.entries, LEFT, RIGHT, repository_id=REPO))
 
 
 @query("""SELECT object_id, left_paths, right_paths, CASE WHEN left_paths = '' THEN 'added' WHEN right_paths = '' THEN 'deleted' WHEN left_paths = right_paths THEN 'same' ELSE 'moved' END AS class FROM g""", *STATES, GROUPED)
 def diff_move_classes(d: Domain) -> DataFrame:
-    return _texts(diff.move_classes(diff.by_object(d.entries, LEFT, RIGHT)))
+    return _texts(diff.move_classes(diff.by_object(d.entries, LEFT, RIGHT, repository_id=REPO)))
 
 
 @query("SELECT object_id, left_paths, right_paths FROM g",
@@ -319,7 +319,7 @@ def store_copy_plan(d: Domain) -> DataFrame:
 FROM b LEFT JOIN (SELECT r.object_id, count(*) AS n, arg_min(s.name, s.name) AS store, arg_min(r.path, s.name) AS replica_path
   FROM f_replicas r JOIN f_stores s ON r.store_id = s.store_id WHERE NOT r.encrypted GROUP BY r.object_id) n ON b.object_id = n.object_id WHERE starts_with(b.path, 'd')""", *STATES)
 def restore_plan(d: Domain) -> DataFrame:
-    return content.restore_plan(state.as_of(d.entries, RIGHT), d.replicas, d.stores, prefix="d")
+    return content.restore_plan(state.as_of_in(d.entries, REPO, RIGHT), d.replicas, d.stores, prefix="d")
 
 
 @query("""SELECT r.object_id, r.store_id, CASE WHEN r.encrypted THEN 'skipped' WHEN r.object_id % 7 = 0 THEN 'missing' WHEN r.object_id % 11 = 0 THEN 'corrupt' ELSE 'ok' END AS result FROM f_replicas r""")
@@ -475,7 +475,7 @@ STATE_FILES = "SELECT 1 AS tree, a.path, o.digest AS h FROM a JOIN f_objects o O
 FROM (SELECT * FROM n WHERE tree = 1) x FULL OUTER JOIN (SELECT * FROM n WHERE tree = 2) y ON x.path = y.path WHERE x.h IS DISTINCT FROM y.h""",
        *STATES, *level_sql(STATE_FILES), "n AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)")
 def tree_diff_levels(d: Domain) -> DataFrame:
-    part = lambda s, k: state.as_of(d.entries, s).join(d.objects, "object_id").select(F.lit(k).alias("tree"), "path", F.unhex("digest").alias("digest"))
+    part = lambda s, k: state.as_of_in(d.entries, REPO, s).join(d.objects, "object_id").select(F.lit(k).alias("tree"), "path", F.unhex("digest").alias("digest"))
     nodes = materialize(tree.nodes(materialize(part(LEFT, 1).union(part(RIGHT, 2)), "files"), depth=2), "nodes")
     return tree.diff(nodes.where("tree = 1"), nodes.where("tree = 2"), 2)
 
