@@ -25,11 +25,13 @@ def side(entries: DataFrame, snapshot_id: int, mode: str, prefix: str = "", repo
 
 def snapshot_diff(entries: DataFrame, objects: DataFrame, left: int, right: int, *, mode: str = "state", prefix: str = "", repository_id: int | None = None) -> DataFrame:
     """(path, change, size_before, size_after): A only right, D only left, M on both with other content; equal paths are left out."""
-    sizes = objects.select("object_id", "size")
-    part = lambda s, k: side(entries, s, mode, prefix, repository_id).join(sizes, "object_id", "left").select("path", F.col("object_id").alias(f"o_{k}"), F.col("size").alias(f"size_{k}"), F.lit(True).alias(f"in_{k}"))
+    part = lambda s, k: side(entries, s, mode, prefix, repository_id).select("path", F.col("object_id").alias(f"object_{k}"), F.lit(True).alias(f"in_{k}"))
     rows = part(left, "before").join(part(right, "after"), "path", "full_outer")
-    change = F.when(F.col("in_before").isNull(), "A").when(F.col("in_after").isNull(), "D").when(~F.col("o_before").eqNullSafe(F.col("o_after")), "M")
-    return rows.select("path", change.alias("change"), "size_before", "size_after").where("change is not null")
+    change = F.when(F.col("in_before").isNull(), "A").when(F.col("in_after").isNull(), "D").when(~F.col("object_before").eqNullSafe(F.col("object_after")), "M")
+    rows = rows.withColumn("change", change).where("change is not null")
+    for k in ("before", "after"):  # sizes are looked up for what changed only
+        rows = rows.join(objects.select(F.col("object_id").alias(f"object_{k}"), F.col("size").alias(f"size_{k}")), f"object_{k}", "left")
+    return rows.select("path", "change", "size_before", "size_after")
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:
