@@ -25,6 +25,8 @@ from .tokens import default_tokenizer, encoder, short_batches
 END_ID, END_CHAR = 0xC480, "\u0100"
 #: Ids in a block of the scan.
 BLOCK_IDS = 1 << 16
+#: Pieces a worker remembers here, where the JVM sorts a task's ids beside it.
+PIECES = 600_000
 
 
 def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -39,7 +41,7 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_c
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at = encoder(file), 0
+        enc, at = encoder(file, PIECES), 0
         for b in batches:
             rows = [np.frombuffer(x, "<u4") for x in enc.encode(b.column(1).to_pylist())]
             if any(len(x) and x.max() >= END_ID for x in rows):

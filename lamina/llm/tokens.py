@@ -124,14 +124,14 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file, kept across tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """One encoder per worker process, file and size of its dictionary, kept across tasks."""
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = PieceEncoder(path, pieces)
+    return _encoders[path, pieces]
 
 
 def tokenized(docs: DataFrame, *, tokenizer: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
