@@ -189,17 +189,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     found = _neighbours(_suffixes(rows.select("rid", "text")))
     marked = materialize(_uncovered(found), "marked")
-    active = marked.join(marked.where("open").select("k1").distinct(), "k1", "left_semi")
+    open_keys = materialize(marked.where("open").select("k1").distinct(), "open")  # written, so that a hot key's rows can be split in the join
+    active = marked.join(open_keys, "k1", "left_semi")
     places = active.groupBy("rid").agg(F.collect_set("pos").alias("pos"))  # at most the words of a document
     texts = rows.select("rid", "text").join(places, "rid").dropDuplicates(["rid"])
     windows = materialize(_windows(texts.select("rid", "text", "pos")), "windows")
     twice = windows.groupBy("a", "b").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("a", "b")
+    twice = materialize(twice, "twice")
     short = windows.join(twice, ["a", "b"], "left_semi").select("rid", F.struct("start", (F.col("start") + MIN_WORDS).alias("end")).alias("x"))
     long = marked.where("long").select("rid", F.struct(F.col("pos").alias("start"), (F.col("pos") + LONG).alias("end")).alias("x"))
     spans = short.union(long).groupBy("rid").agg(merged(F.array_sort(F.collect_set("x"))).alias("spans"))
     spans = spans.withColumn("n_repeated", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]))
     out = materialize(spans, "spans")
-    for done in (found, marked, windows):
+    for done in (found, marked, open_keys, windows, twice):
         discard(done)
     return rows.select("doc_id", "rid").join(out, "rid").select("doc_id", "spans", "n_repeated")
 
