@@ -31,27 +31,31 @@ OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of uint32 ranks."""
-    ranks = ranks.astype("<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
-    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    keep = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks again: each control byte's table rows give the places of its four ranks."""
-    c = np.frombuffer(control, np.uint8)
-    if not n:
-        return np.zeros(0, np.uint32)
+def encode_ranks(rows: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each row of uint32 ranks; a row's last four are filled up with rank 0."""
+    quads = np.array([-(-len(x) // 4) for x in rows], np.int64)
+    first = np.cumsum(quads) - quads
+    ranks = np.zeros(4 * int(quads.sum()), "<u4")
+    for x, k in zip(rows, (4 * first).tolist(), strict=True):
+        ranks[k : k + len(x)] = x
+    size = (1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).reshape(-1, 4)
+    control = ((size - 1) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size.reshape(-1, 1)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size.sum(axis=1, dtype=np.int64))])
+    spans = zip(first.tolist(), (first + quads).tolist(), ends[first].tolist(), ends[first + quads].tolist(), strict=True)
+    return [(control[c:d], data[k:n]) for c, d, k, n in spans]
+
+
+def decode_ranks(control: list[bytes], data: list[bytes], counts: list[int]) -> list[np.ndarray]:
+    """The ranks of each row again: each control byte's table rows give the places of its four ranks."""
+    c = np.frombuffer(b"".join(control), np.uint8)
     begin = np.cumsum(TOTALS[c]) - TOTALS[c]
-    at = (begin[:, None] + OFFSETS[c]).reshape(-1)[:n]
-    four = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    word = np.lib.stride_tricks.sliding_window_view(four, 4)[at].copy().view("<u4").reshape(-1)
-    return word & MASKS[LENGTHS[c].reshape(-1)[:n] - 1]
+    at = (begin[:, None] + OFFSETS[c]).reshape(-1)
+    four = np.frombuffer(b"".join(data) + b"\0\0\0\0", np.uint8)
+    words = np.lib.stride_tricks.sliding_window_view(four, 4)[at].view("<u4").reshape(-1)
+    ranks = words & MASKS[LENGTHS[c].reshape(-1) - 1]
+    first = np.cumsum([4 * len(x) for x in control]) - [4 * len(x) for x in control] if control else []
+    return [ranks[k : k + n] for k, n in zip(first, counts, strict=True)]
 
 
 def _frequencies(tokens: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | N
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
-            both = [encode_ranks(table.value[x]) for x in rows]
+            both = encode_ranks([table.value[x] for x in rows])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
 
     coded = materialize(raw.mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary"), "coded")
@@ -125,7 +129,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         table, base = shared.value
         for b in batches:
             part, doc_id, at, n, control, data = (b.column(k).to_pylist() for k in range(6))
-            rows = [table[decode_ranks(*x)].tobytes() for x in zip(control, data, n, strict=True)]
+            rows = [table[x].tobytes() for x in decode_ranks(control, data, n)]
             start = [base[p] + x for p, x in zip(part, at, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in ((doc_id, pa.int64()), (start, pa.int64()), (n, pa.int64()), (rows, pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
 

@@ -84,10 +84,14 @@ def test_blocks_bound_what_is_held(spark):
 
 def test_variable_bytes_round_trip():
     r = np.random.default_rng(1)
-    for n in (0, 1, 3, 4, 5, 1000):
-        ranks = (2 ** (r.random(n) * 32)).astype(np.uint64).clip(0, 2**32 - 1).astype(np.uint32)
-        control, data = vbyte.encode_ranks(ranks)
-        assert len(control) == -(-n // 4) and (vbyte.decode_ranks(control, data, n) == ranks).all()
+    rows = [(2 ** (r.random(n) * 32)).astype(np.uint64).clip(0, 2**32 - 1).astype(np.uint32) for n in (0, 1, 3, 4, 0, 5, 1000)]
+    control, data = zip(*vbyte.encode_ranks(rows), strict=True)
+    assert [len(c) for c in control] == [-(-len(x) // 4) for x in rows]
+    back = vbyte.decode_ranks([*control], [*data], [*map(len, rows)])
+    assert all((a == b).all() for a, b in zip(rows, back, strict=True))
+    for k, x in enumerate(rows):  # each row alone, too
+        assert (vbyte.decode_ranks([control[k]], [data[k]], [len(x)])[0] == x).all()
+    assert vbyte.encode_ranks([]) == [] and vbyte.decode_ranks([], [], []) == []
 
 
 def test_ranked_files_round_trip(spark, tmp_path):
