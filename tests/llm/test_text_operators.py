@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lamina.llm import classifier, components, decontaminate, pii, quality_rules, simhash, suffixes
+from lamina.llm import classifier, components, decontaminate, pii, quality_rules, simhash, similar, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, words string, row string, fp string, rid string"
 
@@ -213,6 +213,50 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(table.limit(0)).count() == 0 and simhash.keep_one(table.limit(0)).count() == 0
 
 
+# ---- near copies by similarity
+
+def edited(seed, words, n):
+    r, w = random.Random(seed), list(words)
+    for k in r.sample(range(len(w)), n):
+        w[k] = f"e{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := plain_words(t)) else set() for t in (a, b)]
+    return len(grams[0] & grams[1]) / max(1, len(grams[0] | grams[1])) if any(grams) else 1.0
+
+
+@pytest.mark.parametrize("bucket", [64, 3, 1])
+def test_similar_texts_keep_one(spark, bucket):
+    """Copies at similarity 0.8 to 0.95, most further than 3 bits apart; with few nodes to a bucket the others take the other way."""
+    groups = [prose(200 + g, 300, 5000).split() for g in range(20)]
+    rows = [(10 * g + k, edited(1000 * g + k, w, k)) for g, w in enumerate(groups) for k in range(9)]
+    rows += [(700 + k, prose(300 + k, 40, 5000) + " " + prose(77, 60, 5000)) for k in range(20)]  # a common passage is no copy
+    table = docs(spark, rows + EDGES)
+    kept = similar.keep_one(table, bucket=bucket)
+    assert kept.columns == table.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert not [k for k, n in ids.items() if n > 1]
+    texts = dict(rows)
+    left = [k for k in ids if k in texts]
+    assert not [(a, b) for a in left for b in left if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    assert {10 * g for g in range(20)} | {700 + k for k in range(20)} <= set(ids)
+    for k in set(texts) - set(ids):
+        assert any(k != j and jaccard(texts[k], texts[j]) >= 0.8 for j in texts)
+    assert {900, 903, 904, None} <= set(ids) and not {901, 902} & set(ids)
+    assert similar.keep_one(table.limit(0)).count() == 0
+
+
+def test_pipeline_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    w = prose(8, 300, 5000).split()
+    far = next(t for s in range(99) if (simhash.fingerprint(t := edited(s, w, 5)) ^ simhash.fingerprint(" ".join(w))).bit_count() > 3 and jaccard(t, " ".join(w)) >= 0.8)
+    out = corpus_pipeline.near_duplicates(spark, docs(spark, [(1, " ".join(w)), (2, far)]), "")
+    assert [r.doc_id for r in out.collect()] == [1]
+
+
 # ---- personal data
 
 def luhn(digits):
