@@ -4,8 +4,9 @@ Candidates are found by one pattern; those that validate are replaced, the rest
 Numbers and dates are permuted within their format by a keyed Feistel network, so a value has the same
 pseudonym in every document and no two values share one:
 
-* cards (13 to 19 digits, Luhn): all digits but the first are permuted, the check digit is made anew;
-* IBANs (mod 97): the digits of the account are permuted, the check digits made anew;
+* cards (13 to 19 digits, Luhn), also between other groups of digits: all digits but the first are permuted,
+  the check digit is made anew;
+* IBANs (mod 97, the length of their country), also with groups that follow: the digits of the account are permuted, the check digits made anew;
 * phone numbers: area, exchange and line of +1 numbers, else all digits but the first two after the plus;
 * US social security numbers, IPv4 addresses: among the valid ones;
 * dates (1800 to 2199): among the days of these 400 years, in the same notation.
@@ -27,12 +28,18 @@ KEY = "lamina test key"
 ROUNDS = 10
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_+/.-]{7,}[A-Za-z0-9_+/-]"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Characters of an IBAN by country.
+LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+KNOWN = r"\b(?:" + "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in LENGTHS.items()) + r")\b"
+IBAN = rf"{KNOWN}|\b[A-Z]{{2}}\d{{2}}(?: ?(?!{KNOWN})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"
 DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[./-]\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"
 PHONE = r"\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)|(?<![\d(])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?!\d)|\+[2-9]\d(?:[ .()-]{0,2}\d){6,13}(?!\d)"
-CARD = r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"
+#: What ends a run of groups of digits: a group that begins something else.
+OTHER = rf"{MAIL}|{IP}|{SSN}|{PHONE}|(?<![\d./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?!\d|[./-]\d)"
+#: The whole run of groups that a card may lie in.
+CARD = rf"(?<![\dA-Za-z])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:[ -](?!{OTHER})\d++(?![A-Za-z]))*+"
 ANY = "|".join((MAIL, SECRET, IBAN, DATE, IP, SSN, PHONE, CARD))
 #: What a text must hold for any of them.
 HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
@@ -112,24 +119,58 @@ def _mod97(s: Column) -> Column:
 
 
 def _card(key: str, v: Column) -> Column:
+    """The pseudonym of a card; null for what is none."""
     def made(d: Column) -> Column:
         n = F.length(d)
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _decimal(key, "card", F.substr(d, F.lit(2), n - 2)))
         whole = _let(body, lambda p: F.concat(p, ((10 - _luhn(F.concat(p, F.lit("0")))) % 10).cast("string")))
-        return F.when(n.between(13, 19) & (_luhn(d) == 0), _refill(v, whole)).otherwise(v)
+        return F.when(_is_card(d), _refill(v, whole))
 
     return _let(_digits(v), made)
 
 
+def _is_card(d: Column) -> Column:
+    return F.when(F.length(d).between(13, 19) & d.rlike("^[0-9]+$"), _luhn(d) == 0).otherwise(F.lit(False))
+
+
+def _cards(key: str, v: Column) -> Column:
+    """``v`` with the cards among its groups replaced: from the left, the longest span of whole groups that validates."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+
+    def spans(groups: Column) -> Column:
+        span = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + 18, F.size(groups)), i, F.lit(-1))
+            last = F.try_element_at(F.filter(ends, lambda j: _is_card(F.regexp_replace(span(i, j), "[ -]", ""))), F.lit(1))
+
+            def put(e: Column) -> Column:
+                held = _let(span(i, e), lambda x: F.concat(_card(key, F.rtrim(x)), F.substr(x, F.length(F.rtrim(x)) + 1, F.lit(1))))
+                return F.struct(F.concat(acc["out"], F.coalesce(held, F.element_at(groups, i))).alias("out"), F.coalesce(e + 1, i + 1).alias("next"))
+
+            return F.when(i < acc["next"], acc).otherwise(_let(last, put))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: acc["out"])
+
+    return _let(F.regexp_extract_all(v, F.lit("[^ -]+[ -]?"), F.lit(0)), spans)
+
+
 def _iban(key: str, v: Column) -> Column:
-    def made(s: Column) -> Column:
+    """The longest part of ``v`` that ends with a group and validates replaced; cards in what remains."""
+    def valid(s: Column) -> Column:
+        return F.length(s).between(15, 34) & (_mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1)
+
+    def made(x: Column) -> Column:
+        s = F.regexp_replace(x, " ", "")
         country, account = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5), F.length(s))
-        valid = F.length(s).between(15, 34) & (_mod97(F.concat(account, F.substr(s, F.lit(1), F.lit(4)))) == 1)
         new = _refill(account, _decimal(key, "iban", _digits(account)))
         check = _let(new, lambda a: F.concat(_pad(98 - _mod97(F.concat(a, country, F.lit("00"))), 2), _digits(a)))
-        return F.when(valid, _refill(v, check)).otherwise(v)
+        rest = F.substr(v, F.length(x) + 1, F.length(v))
+        return F.when(x == "", _cards(key, v)).otherwise(F.concat(_refill(x, check), F.when(rest == "", rest).otherwise(F.concat(F.lit(" "), _cards(key, F.ltrim(rest))))))
 
-    return _let(F.regexp_replace(v, " ", ""), made)
+    ends = lambda g: F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(g, 1, k), " "))
+    found = F.filter(_let(F.split(v, " "), ends), lambda x: valid(F.regexp_replace(x, " ", "")))
+    return _let(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")), made)
 
 
 def _phone(key: str, v: Column) -> Column:
@@ -206,7 +247,7 @@ def pseudonym(v: Column, key: str) -> Column:
     whole = lambda p: v.rlike(f"^(?:{p})$")
     out = F.when(v.contains("@"), _mail(key, v)).when(whole(SECRET), _secret(key, v)).when(whole(IBAN), _iban(key, v))
     out = out.when(whole(DATE), _date(key, v)).when(whole(IP), _ip(key, v)).when(whole(SSN), _ssn(key, v))
-    return out.when(whole(CARD) & ~whole(PHONE), _card(key, v)).otherwise(_phone(key, v))
+    return out.when(whole(PHONE), _phone(key, v)).otherwise(_cards(key, v))
 
 
 def pseudonymize(docs: DataFrame, *, key: str = KEY, text_col: str = "text") -> DataFrame:

@@ -294,6 +294,20 @@ def test_invalid_values_stay(spark):
     assert replaced(spark, values) == values
 
 
+def test_cards_and_ibans_among_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    new_card, new_iban = replaced(spark, [card, iban])
+    around = ["{} 12/27", "{} 123", "7 {}", "12 {} 12", "1234 5678 {}", "{} 123 4567 89", "x9 {}", "{} 12ab", "AB12 {}", "ref 2024 {}-9"]
+    assert replaced(spark, [a.format(card) for a in around]) == [a.format(new_card) for a in around]
+    assert replaced(spark, ["4111111111111111 123"]) == [new_card.replace(" ", "") + " 123"]
+    after = ["{} EUR", "{} 1234", "{} 1234 EUR", "{} 2024 AB", "AB12 CDEF {}"]
+    assert replaced(spark, [a.format(iban) for a in after]) == [a.format(new_iban) for a in after]
+    assert replaced(spark, [f"{iban} {card}", f"{card} {iban}"]) == [f"{new_iban} {new_card}", f"{new_card} {new_iban}"]
+    others = ["2024-02-29", "123-45-6789", "743-555-3824", "10.20.30.40", "31/12/1999"]
+    assert replaced(spark, [f"{card} {x}" for x in others]) == [f"{new_card} {x}" for x in replaced(spark, others)]
+    assert replaced(spark, ["1 " * 3000 + "x"]) == ["1 " * 3000 + "x"]
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(189 * 7).select((F.col("id") % 189).alias("l"), F.floor(F.col("id") / 189).alias("r"))
     out = pairs.select(pii.feistel("k", "t", F.col("l"), F.col("r"), 189, 7).alias("p"))
