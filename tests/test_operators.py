@@ -1,12 +1,14 @@
 """Scenarios on small tables with asserted rows, and invariants."""
 
 import hashlib
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing, paths
 from lamina.operators import changes, content, diff, listing, retention, state, sync, tree
+from lamina.plans.queries import QUERIES
 from lamina.streaming import debounce
 
 OBS = "repository_id long, snapshot_id long, path string, status int, object_id long, mtime long"
@@ -176,6 +178,42 @@ def test_hashes(spark):
     assert hashing.blake3_digest(long).hex()[:16] == "5f4d72f40d7a5f82"
 
 
+def test_blake3_of_all_documents(spark):
+    """Digests of many values at once equal those by the published recursion."""
+    def compress(chain, block, length, counter, flags):
+        m, mask = list(struct.unpack("<16I", block.ljust(64, b"\0"))), 2**32 - 1
+        v = [*chain, *hashing._IV[:4], counter & mask, counter >> 32, length, flags]
+        turn = lambda x, r: (x >> r | x << 32 - r) & mask
+        for _ in range(7):
+            for k, (a, b, c, d) in enumerate(hashing._QUARTERS):
+                for x, p, q in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                    v[a] = (v[a] + v[b] + x) & mask
+                    v[d] = turn(v[d] ^ v[a], p)
+                    v[c] = (v[c] + v[d]) & mask
+                    v[b] = turn(v[b] ^ v[c], q)
+            m = [m[k] for k in hashing._ORDER]
+        return [v[k] ^ v[k + 8] for k in range(8)]
+
+    def node(data, counter, root):
+        if len(data) <= 1024:
+            chain, blocks = hashing._IV, [data[k : k + 64] for k in range(0, len(data), 64)] or [b""]
+            for k, block in enumerate(blocks):
+                last = k == len(blocks) - 1
+                chain = compress(chain, block, len(block), counter, (k == 0) * 1 | last * (2 | root))
+            return chain
+        left = 1 << (-(-len(data) // 1024) - 1).bit_length() - 1
+        halves = [*node(data[: 1024 * left], counter, 0), *node(data[1024 * left :], counter + left, 0)]
+        return compress(hashing._IV, struct.pack("<16I", *halves), 64, 0, 4 | root)
+
+    want = lambda b: struct.pack("<8I", *node(b, 0, 8))
+    values = [bytes(k % 251 for k in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 7169, 31745, 40)]
+    assert hashing.blake3_digests(values) == [want(v) for v in values] and hashing.blake3_digests([]) == []
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: r.digest for r in QUERIES["digest_blake3"](spark, folder).collect()}
+    assert got.keys() == texts.keys() and all(got[k] == want(texts[k].encode()).hex() for k in sorted(texts)[:20])
+
+
 def test_path_functions(spark):
     table = spark.createDataFrame([("a/b/c.txt",), ("top",), ("",)], "p string")
     p = F.col("p")
