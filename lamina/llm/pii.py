@@ -7,7 +7,8 @@ pseudonym in every document and no two values share one:
 * cards (13 to 19 digits, Luhn), also between other groups of digits: all digits but the first are permuted,
   the check digit is made anew;
 * IBANs (mod 97, the length of their country), also with groups that follow: the digits of the account are permuted, the check digits made anew;
-* phone numbers: area, exchange and line of +1 numbers, else all digits but the first two after the plus;
+* phone numbers: area, exchange and line of +1 numbers, among the valid ones if they are (2-9 first in area and
+  exchange), else among the others; all digits but the first two after another plus;
 * US social security numbers, IPv4 addresses: among the valid ones;
 * dates (1800 to 2199): among the days of these 400 years, in the same notation.
 
@@ -35,7 +36,7 @@ IBAN = rf"{KNOWN}|\b[A-Z]{{2}}\d{{2}}(?: ?(?!{KNOWN})[A-Z0-9]{{4}}){{2,7}}(?: ?[
 DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[./-]\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"
-PHONE = r"\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)|(?<![\d(])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?!\d)|\+[2-9]\d(?:[ .()-]{0,2}\d){6,13}(?!\d)"
+PHONE = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?!\d)|\+[2-9]\d(?:[ .()-]{0,2}\d){6,13}(?!\d)"
 #: What ends a run of groups of digits: a group that begins something else.
 OTHER = rf"{MAIL}|{IP}|{SSN}|{PHONE}|(?<![\d./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?!\d|[./-]\d)"
 #: The whole run of groups that a card may lie in.
@@ -178,8 +179,11 @@ def _phone(key: str, v: Column) -> Column:
         n = F.length(d)
         ten = F.substr(d, n - 9, F.lit(10))
         area, exchange = F.substr(ten, F.lit(1), F.lit(3)).cast("int"), F.substr(ten, F.lit(4), F.lit(3)).cast("int")
-        pair = feistel(key, "phone", area - 200, (exchange - 200) * 10000 + F.substr(ten, F.lit(7), F.lit(4)).cast("int"), 800, 8_000_000)
-        us = _let(pair, lambda p: F.concat(F.substr(d, F.lit(1), n - 10), _pad(p["l"] + 200, 3), _pad(F.floor(p["r"] / 10000) + 200, 3), _pad(p["r"] % 10000, 4)))
+        # Area codes below 200 go among themselves, then exchanges below 200, then the valid numbers.
+        low, short = F.when(area < 200, 0).otherwise(200), F.when(area < 200, 0).when(exchange < 200, 0).otherwise(200)
+        many, most = F.when(area < 200, 200).otherwise(800), F.when(area < 200, 1000).when(exchange < 200, 200).otherwise(800)
+        pair = feistel(key, "phone", area - low, (exchange - short) * 10000 + F.substr(ten, F.lit(7), F.lit(4)).cast("int"), many, most * 10000)
+        us = _let(pair, lambda p: F.concat(F.substr(d, F.lit(1), n - 10), _pad(p["l"] + low, 3), _pad(F.floor(p["r"] / 10000) + short, 3), _pad(p["r"] % 10000, 4)))
         other = F.concat(F.substr(d, F.lit(1), F.lit(2)), _decimal(key, "phone", F.substr(d, F.lit(3), n)))
         named = v.startswith("+") & ~v.startswith("+1")
         return _refill(v, F.when(named, other).otherwise(us))

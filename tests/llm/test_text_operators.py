@@ -308,6 +308,19 @@ def test_cards_and_ibans_among_other_groups(spark):
     assert replaced(spark, ["1 " * 3000 + "x"]) == ["1 " * 3000 + "x"]
 
 
+def test_all_numbers_with_country_code_1(spark):
+    valid = ["+1 (743) 555-3824", "+1 743 555 3824", "+17435553824"]
+    others = ["+1 (017) 555-7713", "+1 (199) 199-0000", "+1 (743) 155-3824", "+1-000-000-0000"]
+    new = replaced(spark, valid + others)
+    assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and b.startswith("+1") for a, b in zip(valid + others, new, strict=True))
+    ten = [re.sub(r"\D", "", x)[1:] for x in new]
+    nanp = lambda x: x[0] >= "2" and x[3] >= "2"
+    assert all(map(nanp, ten[:3])) and not any(map(nanp, ten[3:])) and len(set(ten[:3])) == 1
+    many = [f"+1 ({a:03}) {e:03}-0000" for a in range(0, 1000, 37) for e in range(0, 1000, 41)]
+    assert len(set(replaced(spark, many))) == len(many)
+    assert replaced(spark, ["017-555-7713", "555-123-4567"]) == ["017-555-7713", "555-123-4567"]
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(189 * 7).select((F.col("id") % 189).alias("l"), F.floor(F.col("id") / 189).alias("r"))
     out = pairs.select(pii.feistel("k", "t", F.col("l"), F.col("r"), 189, 7).alias("p"))
