@@ -12,6 +12,7 @@ thousands in a block. A retried task reads the same split again and so makes the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import default_tokenizer, encoder, short_batches
+from .tokens import default_tokenizer, encoder, grouped, short_batches
 
 WINDOW = 2048
 BLOCK_TOKENS = 4_000_000
@@ -109,14 +110,19 @@ def pack(docs: DataFrame, *, window: int = WINDOW, end_id: int = 1, tokenizer: s
     Nulls and empty texts: one piece with the end id alone; a null id stays. Repeated rows are packed
     each. An empty table gives no rows. Other columns are not read.
     """
-    path, tail = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
+    path = tokenizer or default_tokenizer()
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        first = TaskContext.get().partitionId() << 36
-        each = ((i, ids + tail) for b in batches for i, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True))
-        yield from _packed(each, window, first, block_tokens)
+
+        def each() -> Iterator[tuple[int | None, bytes]]:
+            for b in grouped(batches, 1):
+                at, flat = enc.encode(b.column(1), end_id)
+                raw = memoryview(flat.tobytes())
+                yield from ((i, bytes(raw[x:y])) for i, (x, y) in zip(b.column(0).to_pylist(), pairwise((4 * at).tolist()), strict=True))
+
+        yield from _packed(each(), window, TaskContext.get().partitionId() << 36, block_tokens)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

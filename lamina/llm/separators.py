@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import exists, fresh_path
-from .tokens import default_tokenizer, encoder, short_batches
+from .tokens import as_binary, default_tokenizer, encoder, grouped, short_batches
 
 #: End-of-document id: above the vocabulary (so that no text makes it) and, as two bytes, the character
 #: that Spark's text writer takes as its line separator.
@@ -42,14 +42,15 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(file, PIECES), 0
-        for b in batches:
-            rows = [np.frombuffer(x, "<u4") for x in enc.encode(b.column(1).to_pylist())]
-            if any(len(x) and x.max() >= END_ID for x in rows):
+        for b in grouped(batches, 1):
+            ends, flat = enc.encode(b.column(1))
+            if len(flat) and flat.max() >= END_ID:
                 raise ValueError(f"ids must be below {END_ID}")
             names = [b"" if x is None else str(x).encode() for x in b.column(0).to_pylist()]
-            n = len(rows)
+            n = b.num_rows
             kind, row = ["tokens"] * n + ["order"] * n, [*range(at, at + n)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(row, pa.int64()), pa.array([x.astype(">u2").tobytes() for x in rows] + names, pa.binary())], ["kind", "row", "value"])
+            values = pa.concat_arrays([as_binary(ends, flat.astype(">u2")), pa.array(names, pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(row, pa.int64()), values], ["kind", "row", "value"])
             at += n
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, row long, value binary")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,11 +27,41 @@ ROWS = [*EDGES, (1, "Hello  world\n\n  it's\tfine "), (2, " lead"), (3, "<|endof
 
 def test_encoder_equals_the_library():
     r = random.Random(3)
-    parts = ["a", "bc", " ", "  ", "\n", "\t", "!", "'s", "é", "\x1c", "1", "\x85", "\u00a0", "<|endoftext|>", "\r\n", "漢"]
+    parts = ["a", "bc", " ", "  ", "\n", "\n\n", "\t", "!", ".", ",", "...", ' "', "'s", "é", "Ω", "\x1c", "1", "\x85", "\u00a0", "\u3000", "<|endoftext|>", "\r\n", "漢"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + [t for _, t in ROWS]
     enc = tokens.PieceEncoder(tokens.default_tokenizer(), limit=500)
     for k in range(0, len(texts), 100):
-        assert enc.encode(texts[k : k + 100]) == [raw(plain_ids(t)) for t in texts[k : k + 100]]
+        ends, flat = enc.encode(pa.array(texts[k : k + 100], pa.string()))
+        assert [x.tolist() for x in tokens.split_rows(ends, flat)] == [plain_ids(t) for t in texts[k : k + 100]]
+    ends, flat = enc.encode(pa.array(["a b", None, "a\x1fb"]), 9)
+    assert [x.tolist() for x in tokens.split_rows(ends, flat)] == [[*plain_ids(t), 9] for t in ("a b", "", "a\x1fb")]
+
+
+def test_files_of_another_kind_are_not_cut(tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = tokens.PieceEncoder(path)
+    assert tokens.can_be_cut(tokens.default_tokenizer()) and not enc.cut
+    texts = ["Some words, here.", "", "Two  spaces\n"]
+    ends, flat = enc.encode(pa.array(texts))
+    assert [x.tolist() for x in tokens.split_rows(ends, flat)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_grouped_batches_keep_their_rows():
+    batch = pa.RecordBatch.from_pydict({"k": [*range(50)], "t": ["x" * (k % 7) for k in range(50)]})
+    for limit in (1, 40, 10_000):
+        out = [*tokens.grouped(iter([batch, batch.slice(0, 0), batch]), 1, limit)]
+        assert [x for b in out for x in b.column(0).to_pylist()] == [*range(50)] * 2
+        assert limit > 1 or max(b.num_rows for b in out) <= 3
+    assert [*tokens.grouped(iter([]), 1)] == []
+
+
+def test_ranges_of_equal_keys():
+    bounds = [(0, 5), (3, -2), (3, 0), (3, 9), (8, 1)]
+    keys = [(k, h) for k in range(-1, 10) for h in (-5, -2, 0, 4, 9, 12)]
+    got = vbyte._part_of(*(np.array([x[k] for x in keys]) for k in range(2)), *(np.array([x[k] for x in bounds]) for k in range(2)))
+    assert got.tolist() == [sum(b <= x for b in bounds) for x in keys]
 
 
 def test_best_fit_decreasing_equals_a_plain_search():
