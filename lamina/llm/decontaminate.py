@@ -1,13 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Both sides keep, of every run of 8 neighbouring 6-word hashes, the smallest. Every window of 13 words holds
-such a run, so a window shared by a document and a benchmark item leaves a shared fingerprint in both. Where
-a document's fingerprint meets one of the benchmark, the hit is extended to the windows that hold it, and
-these are compared with the benchmark's, word for word. Items shorter than a window are one window of
-their own length; for each such length (at most 12) all hashes of that many words are kept.
-
-Documents are not shuffled: fingerprints stream, with the words around them, past the benchmark's, and
-only hits go on. The benchmark's side is broadcast while it is small, else both sides are shuffled.
+Both sides keep, of every run of 8 neighbouring 6-word grams, the one with the smallest hash (that of its
+first word leads; of equal ones the leftmost stays). Every window of 13 words holds such a run, so a window
+shared by a document and a benchmark item leaves a shared fingerprint in both. Where a document's
+fingerprint meets one of the benchmark, the hit is extended to the windows that hold it, and these are
+compared with the benchmark's, word for word. Items shorter than a window are one window of their own length;
+each such length (at most 12) has fingerprints of its own, of grams of half that length.
+
+Texts are read and cut into words once, and are not shuffled: fingerprints stream past the benchmark's, and
+only hits go on, with the words around them. A benchmark above ``BROADCAST_BYTES`` is not broadcast;
+fingerprints then are shuffled, and the texts of documents that have a hit are read again.
 """
 
 from __future__ import annotations
@@ -15,58 +17,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize
+
 WINDOW, GRAM = 13, 6
-#: Hashes in a run: with GRAM words each they span a window.
-RUN = WINDOW - GRAM + 1
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Fingerprints or windows of the benchmark that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Runs of anything but ASCII signs; these are listed one by one, for which Java's patterns have a table.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: Bytes of a table of the benchmark's fingerprints, windows or items, by estimate, that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits of a position beside 33 bits of a hash.
+POSITION = 31
+
+
+def cut_words(text: Column) -> Column:
+    """Words of a whole text as they stand; none for null."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
     """Words of a whole text, A-Z lower-cased; none for null."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return cut_words(F.translate(text, UPPER, LOWER))
 
 
-def count_words(text: Column) -> Column:
-    """As many as ``words_of`` returns: lower-casing only matters for which characters count."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+def gram_size(length: Column | int) -> Column:
+    """Words of the grams for windows of a length: half of it, GRAM at most."""
+    length = length if isinstance(length, Column) else F.lit(length)
+    return F.least(F.lit(GRAM), F.floor((length + 1) / 2).cast("int"))
 
 
-def _grams(words: Column, n: Column, k: int) -> Column:
-    """Hash and position of every k words, as one number: 33 bits of hash above 31 bits of position."""
-    one = lambda i: F.shiftleft(F.xxhash64(F.slice(words, i + 1, F.lit(k))), 31).bitwiseOR(i.cast("long"))
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), one)).otherwise(F.expr("array()").cast("array<long>"))
+def _least_of(x: str, run: int) -> Column:
+    """For each place of an array the smallest of the ``run`` values from there on, by doubling; fewer at the end."""
 
+    def step(held: Column, by: int) -> Column:
+        return F.transform(F.array(held), lambda a: F.transform(a, lambda v, i: F.least(v, F.get(a, i + by))))[0]
 
-def _winnowed(grams: Column) -> Column:
-    """The smallest of every RUN neighbours, each once."""
-    least = F.transform(F.sequence(F.lit(1), F.size(grams) - RUN + 1), lambda j: F.array_min(F.slice(grams, j, F.lit(RUN))))
-    return F.when(F.size(grams) >= RUN, F.array_distinct(least)).otherwise(F.expr("array()").cast("array<long>"))
+    out, size = F.col(x), 1
+    while size < run:
+        by = min(size, run - size)
+        out, size = step(out, by), size + by
+    return out
 
 
-def _prints(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """(keys, len, hash, pos, from, around): fingerprints for windows of each length, with the words a window may take."""
+def _chosen(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows`` (words and others) with ``at``: the places of the fingerprints of each length, as length * 2**31 + position."""
+    # 33 bits of each word's hash above its position. lower() takes in more than A-Z: equal words stay equal.
+    rows = rows.withColumn("k", F.transform("words", lambda w, i: F.shiftleft(F.xxhash64(F.lower(w)), POSITION).bitwiseOR(i.cast("long"))))
     n = F.size("words")
-    rows = rows.select(*keys, "words", _grams(F.col("words"), n, GRAM).alias("g"))
+    for length in lengths:
+        rows = rows.withColumn(f"least_{length}", _least_of("k", length - min(GRAM, (length + 1) // 2) + 1))
+    none = F.expr("cast(array() as array<bigint>)")
+    mask = (1 << POSITION) - 1
+
+    def places(length: int) -> Column:
+        kept = F.array_distinct(F.slice(f"least_{length}", F.lit(1), F.greatest(n - (length - 1), F.lit(0))))
+        return F.transform(kept, lambda v: v.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(length << POSITION)))
+
+    at = F.concat(none, *(places(x) for x in lengths))
+    return rows.withColumn("at", at).drop("k", *(f"least_{x}" for x in lengths))
 
-    def of_length(length: int) -> Column:
-        chosen = _winnowed(F.col("g")) if length == WINDOW else _grams(F.col("words"), n, length)
-        back = WINDOW - GRAM if length == WINDOW else 0
 
-        def made(v: Column) -> Column:
-            pos = v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-            start = F.greatest(pos - back, F.lit(0))
-            return F.struct(F.lit(length).alias("len"), F.shiftright(v, 31).alias("hash"), pos.alias("pos"), start.alias("from"), F.slice("words", start + 1, F.lit(length + back)).alias("around"))
+def _prints(chosen: DataFrame, *, and_rows: bool) -> DataFrame:
+    """One row for each fingerprint: words and the other columns, len, pos, hash. and_rows: one without them too for each row."""
+    own = F.concat(F.array(F.lit(-1).cast("long")), F.col("at")) if and_rows else F.col("at")
+    rows = chosen.select(*(c for c in chosen.columns if c != "at"), F.explode(own).alias("v")).where("v is not null")
+    is_print = F.col("v") >= 0
+    length = F.when(is_print, F.shiftright("v", POSITION).cast("int"))
+    pos = F.when(is_print, F.col("v").bitwiseAND(F.lit((1 << POSITION) - 1)).cast("int"))
+    rows = rows.select("*", length.alias("len"), pos.alias("pos"))
+    # A space is neither cased nor ignored by case, so that words are lower-cased as each alone.
+    gram = F.lower(F.array_join(F.slice("words", F.col("pos") + 1, gram_size(F.col("len"))), " "))
+    return rows.select(*(c for c in rows.columns if c != "v"), F.when(is_print, F.xxhash64(gram)).alias("hash"))
 
-        return F.transform(chosen, made)
 
-    parts = [of_length(x) for x in lengths]
-    return rows.select(*keys, F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
+def _around() -> tuple[Column, Column]:
+    """Where the windows around a fingerprint begin, and the words they take."""
+    back = F.col("len") - gram_size(F.col("len"))
+    start = F.greatest(F.col("pos") - back, F.lit(0))
+    words = F.translate(F.array_join(F.slice("words", start + 1, F.col("len") + back), " "), UPPER, LOWER)
+    return start.alias("from"), words.alias("around")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def _fits(table: DataFrame, *texts: str, limit: int) -> bool:
+    """Whether a table's rows, at 64 bytes and their texts each, stay within the limit."""
+    size = table.agg(F.sum(F.lit(64) + sum((F.octet_length(t) for t in texts), F.lit(0))).alias("size")).first()["size"]
+    return (size or 0) <= limit
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, h, n_words, n_hit, hits, items) for each row of ``docs``.
 
     hits: windows of the benchmark in the document, as sorted (start, length) in words; n_hit: words in any
@@ -76,42 +113,55 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_
     marks words but is not listed. Repeated rows each get the result of their text; rows that share a doc_id
     but not a text are apart. Empty tables give no rows, or no hits. Other columns are not read.
     """
-    doc = F.col(doc_col).cast("long")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("len")).distinct().collect()]  # 13 at most
-    base = docs.select(doc.alias("doc_id"), F.xxhash64(text_col).alias("h"), count_words(F.col(text_col)).alias("n_words"))
-    none = F.expr("array()").cast("array<struct<start:int,length:int>>"), F.expr("array()").cast("array<string>")
+    items = items.withColumn("len", F.least(F.size("words"), F.lit(WINDOW)))
+    lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # 13 at most
+    texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), cut_words(F.col(text_col)).alias("words"))
+    none = F.expr("cast(array() as array<struct<start:int,length:int>>)"), F.expr("cast(array() as array<string>)")
+    base = texts.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
     if not lengths:
         return base.select("*", F.lit(0).cast("long").alias("n_hit"), none[0].alias("hits"), none[1].alias("items"))
 
-    length = F.least(F.size("words"), F.lit(WINDOW))
+    length = F.col("len")
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)
-    windows = items.select("item", length.alias("len"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, length), " "))).alias("window"))
-    windows = windows.groupBy("len", "window").agg(F.array_sort(F.collect_set("item")).alias("of"))
-    same_length = F.col("len") == F.least(F.col("n"), F.lit(WINDOW))  # an item has windows of one length only
-    prints = _prints(items.select(F.size("words").alias("n"), "words"), ["n"], lengths).where(same_length).select("len", "hash").distinct()
-    small = max(windows.count(), prints.count()) <= BROADCAST_ROWS
-    hint = F.broadcast if small else lambda x: x
-
-    texts = docs.select(doc.alias("doc_id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("words"))
-    met = _prints(texts, ["doc_id", "h"], lengths).join(hint(prints), ["len", "hash"], "left_semi")
-    last = F.least(F.col("pos"), F.col("from") + F.size("around") - F.col("len"))
-    placed = F.when(last >= F.col("from"), F.transform(F.sequence(F.col("from"), last), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("around", s - F.col("from") + 1, F.col("len")), " ").alias("window"))))
-    tried = met.select("doc_id", "h", "len", F.inline(placed)).distinct() if not small else met.select("doc_id", "h", "len", F.inline(placed))
-    found = tried.join(hint(windows), ["len", "window"])
-    per_doc = found.groupBy("doc_id", "h").agg(
-        F.array_sort(F.collect_set(F.struct("start", F.col("len").alias("length")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"),
-    )
+    of_items = items.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, length), " "))).alias("window")).distinct()
+    windows = materialize(of_items.select("len", "window").distinct().withColumn("w", F.monotonically_increasing_id()), "windows")
+    members = materialize(of_items.where("item is not null").join(windows, ["len", "window"]).select("w", "item"), "members")
+    of_own_length = _prints(_chosen(items.select("words", F.col("len").alias("own")), lengths), and_rows=False).where("len = own")
+    prints = materialize(of_own_length.select("len", "hash").distinct().withColumn("met", F.lit(True)), "prints")
+    light = lambda table, *texts: F.broadcast(table) if _fits(table, *texts, limit=broadcast_bytes) else table
+    small = _fits(prints, limit=broadcast_bytes)
+
+    if small:  # one pass: what has no hit ends as one row with its number of words
+        rows = _prints(_chosen(texts, lengths), and_rows=True).join(F.broadcast(prints), ["len", "hash"], "left").where("len is null or met")
+        tagged = materialize(rows.select("doc_id", "h", F.when(F.col("len").isNull(), F.size("words").cast("long")).alias("n_words"), "len", *_around()), "tagged")
+        base, met = tagged.where("len is null").select("doc_id", "h", "n_words"), tagged.where("len is not null")
+    else:
+        marks = _prints(_chosen(texts, lengths), and_rows=False).select("doc_id", "h", "len", "hash").join(prints, ["len", "hash"], "left_semi")
+        marks = materialize(marks.select(F.col("doc_id").alias("d"), F.col("h").alias("dh")).distinct(), "marks")
+        hit = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left_semi")
+        met = _prints(_chosen(hit, lengths), and_rows=False).select("doc_id", "h", "len", "hash", *_around()).join(prints, ["len", "hash"], "left_semi")
+    met = met.select("doc_id", "h", "len", "from", F.split("around", " ").alias("around"))
+    shifts = F.sequence(F.lit(0), F.size("around") - length)
+    tried = F.transform(shifts, lambda s: F.struct((F.col("from") + s).alias("start"), F.array_join(F.slice("around", s + 1, length), " ").alias("window")))
+    tried = met.where(F.size("around") >= length).select("doc_id", "h", "len", F.inline(tried))
+    found = materialize(tried.join(light(windows, "window"), ["len", "window"]).select("doc_id", "h", "start", "len", "w").distinct(), "found")
+
+    hits = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", length.alias("length")))).alias("hits"))
     empty = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def add(acc: Column, x: Column) -> Column:
         end = x["start"] + x["length"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"]))).alias("n"))
 
-    per_doc = per_doc.withColumn("n_hit", F.aggregate("hits", empty, add, lambda acc: acc["n"]))
-    per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "n_hit", "hits", "items")
-    both = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left")
+    hits = hits.withColumn("n_hit", F.aggregate("hits", empty, add, lambda acc: acc["n"]))
+    # A window's items are looked up once for each document, however often it occurs there.
+    listed = found.select("doc_id", "h", "w").distinct().join(light(members, "item"), "w").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = listed.select(F.col("doc_id").alias("i"), F.col("h").alias("ih"), "items")
+    hits = hits.join(listed, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("ih")), "left").select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "n_hit", "hits", "items")
+    both = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left")
+    for done in (prints, windows):
+        discard(done)
     return both.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
 
 
@@ -120,8 +170,13 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs`` (doc_id, text), with all their columns, that are not contaminated.
+
+    Null ids and texts, repeated rows and empty tables are judged as ``contamination`` says; columns of any name stay.
+    """
     gone = contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("d"), F.col("h").alias("dh")).distinct()
+    gone = materialize(gone, "contaminated")
+    gone = F.broadcast(gone) if _fits(gone, limit=BROADCAST_BYTES) else gone
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
     return row.join(gone, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left_anti").select("row.*")
 
