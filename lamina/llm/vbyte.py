@@ -16,13 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import discard, fresh_path, materialize
-from .tokens import tokenized
+from .tokens import as_binary, default_tokenizer, encoder, grouped, short_batches
 
 #: Bytes that the four codes of a control byte take; derived from its bits.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -58,19 +57,45 @@ def decode_ranks(control: list[bytes], data: list[bytes], counts: list[int]) ->
     return [ranks[k : k + n] for k, n in zip(first, counts, strict=True)]
 
 
-def _frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, n) for every id of the corpus; each task sums its own part, so a few rows per task are shuffled."""
+def _counted(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, n_tokens, ids, counts) of ``docs`` (doc_id, text), and a last row of each task with the frequencies of its ids in ``counts``.
+
+    Ids take two bytes each where they fit; n_tokens and the length tell which.
+    """
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=len(total))
+        enc, total, names = encoder(path), np.zeros(0, np.int64), ["doc_id", "n_tokens", "ids", "counts"]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+        for b in grouped(batches, 1):
+            at, flat = enc.encode(b.column(1), end_id)
+            n = np.bincount(flat, minlength=len(total))
             n[: len(total)] += total
             total = n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            if len(flat) and flat.max() < 1 << 16:
+                flat = flat.astype("<u2")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), as_binary(at, flat), pa.nulls(b.num_rows, kind)], names)
+        if len(seen := np.flatnonzero(total)):
+            each = pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), each)], names)
+
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts array<struct<id:long,n:long>>")
+
+
+def _bounds(keys: DataFrame, n_rows: int, parts: int) -> list[tuple[int, int]]:
+    """Upper (key, hash) of all of ``parts`` ranges but the last, from a sample of the keys as large as Spark's own range partitioning takes."""
+    wanted = min(100 * parts, 1_000_000)
+    some = keys if n_rows <= wanted else keys.sample(fraction=wanted / n_rows, seed=1)
+    found = sorted({(r[0], r[1]) for r in some.collect()})
+    return [found[len(found) * k // parts] for k in range(1, parts)] if found else []
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def _part_of(keys: np.ndarray, hashes: np.ndarray, bound_keys: np.ndarray, bound_hashes: np.ndarray) -> np.ndarray:
+    """The range of each (key, hash): the number of bounds at or below it. Hashes matter where a bound has the same key."""
+    low, high = (np.searchsorted(bound_keys, keys, side) for side in ("left", "right"))
+    for k in np.flatnonzero(low < high):
+        low[k] += np.searchsorted(bound_hashes[low[k] : high[k]], hashes[k], "right")
+    return low
 
 
 def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -78,41 +103,45 @@ def write_ids(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | N
 
     Ids must be below 2**24 (the rank table, at most one row per id of the vocabulary, goes to each
     task). Null and empty texts are documents of the end id alone; rows that repeat a doc_id are
-    written each, a null doc_id comes first. An empty table writes a table without rows.
+    written each, a null doc_id comes first. An empty table writes a table without rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    raw = materialize(tokenized(docs, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "ids")
-    ranked = sorted(((r["n"], r["id"]) for r in _frequencies(raw).collect()), key=lambda x: (-x[0], x[1]))  # at most the vocabulary
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    raw = materialize(_counted(rows, tokenizer or default_tokenizer(), end_id).withColumn("h", F.xxhash64("ids")), "ids")
+    sums = raw.where("counts is not null").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = sorted(((r["n"], r["id"]) for r in sums.collect()), key=lambda x: (-x[0], x[1]))  # at most the vocabulary
     ids = [x[1] for x in ranked]
     spark.createDataFrame([*enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
-    table = spark.sparkContext.broadcast(rank_of)
+    # Ranges of (doc_id, hash of the ids), so that rows of one id are dealt too; bounds are found on these two columns alone.
+    rows = raw.where("counts is null").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(rows.select("key", "h"), rows.count(), parts)
+    shared = spark.sparkContext.broadcast((rank_of, *(np.array([b[k] for b in bounds], np.int64) for k in range(2))))
+    names = ["part", "doc_id", "n_tokens", "control", "data"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, *limits = shared.value
         for b in batches:
-            rows = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
-            both = encode_ranks([table.value[x] for x in rows])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
-
-    coded = materialize(raw.mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary"), "coded")
-    discard(raw)
+            key, h = (b.column(k).to_numpy() for k in (3, 4))
+            both = encode_ranks([table[np.frombuffer(x, f"<u{len(x) // n}")] for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(_part_of(key, h, *limits).astype(np.int32)), b.column(0), b.column(1), *(pa.array([x[k] for x in both], pa.binary()) for k in range(2))], names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        at = 0
         for b in batches:
-            n = np.array(b.column(1).to_pylist(), np.int64)
+            n = b.column(2).to_numpy()
             start = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), b.column(0), pa.array(start), *b.columns[1:]], ["part", "doc_id", "start_in_part", "n_tokens", "control", "data"])
-
-    # Ranges of doc_id, each sorted; rows that repeat an id are dealt and ordered by their content.
-    order = ["doc_id", F.xxhash64("data", "control")]
-    ranges = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranges.mapInArrow(place, "part long, doc_id long, start_in_part long, n_tokens long, control binary, data binary").write.parquet(f"{path}/ids")
-    discard(coded)
-    sums = spark.read.parquet(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(start), *b.columns[2:]], [*names[:2], "start_in_part", *names[2:]])
+
+    coded = rows.select("doc_id", "n_tokens", "ids", "key", "h").mapInArrow(code, "part int, doc_id long, n_tokens long, control binary, data binary")
+    ranges = coded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("data", "control"))
+    ranges.mapInArrow(place, "part int, doc_id long, start_in_part long, n_tokens long, control binary, data binary").write.parquet(f"{path}/ids")
+    discard(raw)
+    sizes = spark.read.parquet(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
     before.coalesce(1).write.parquet(f"{path}/parts")
 
 
