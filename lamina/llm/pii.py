@@ -9,12 +9,14 @@ pseudonym in every document and no two values share one:
 * IBANs (mod 97, the length of their country), also with groups that follow: the digits of the account are permuted, the check digits made anew;
 * phone numbers: area, exchange and line of +1 numbers, among the valid ones if they are (2-9 first in area and
   exchange), else among the others; all digits but the first two after another plus;
-* US social security numbers, IPv4 addresses: among the valid ones;
-* dates (1800 to 2199): among the days of these 400 years, in the same notation.
-
-Words have no such format: the parts of e-mail addresses, and secrets (access keys, passwords and tokens
-after their names), become keyed hashes of the same length. Lengths and separators never change, except
-that the octets of an address have no fixed width.
+* US social security numbers (spaces or hyphens), the 900s that the tax office gives out among themselves, IPv4
+  addresses: among the valid ones; IPv6 addresses: the network and the rest each among all, written in full;
+* dates (1800 to 2199): among the days of these 400 years, in the same notation, whichever it is. Days up to the 12th and
+  later ones go among themselves, so a date that can only be day/month/year stays one;
+* the letters and digits of e-mail names, hosts and access keys: among those of their length, up to 22 of them.
+
+Secrets (passwords and tokens after their names) and longer words become keyed hashes of the same length. Lengths
+and separators never change, except that the groups of an address have no fixed width.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The key of the pseudonyms; a real run passes its own.
-KEY = "lamina test key"
+#: The key of the query below and of tests; a run on real data names its own.
+TEST_KEY = "lamina test key"
 ROUNDS = 10
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key))[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_+/.-]{7,}[A-Za-z0-9_+/-]"
@@ -35,13 +37,15 @@ KNOWN = r"\b(?:" + "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c
 IBAN = rf"{KNOWN}|\b[A-Z]{{2}}\d{{2}}(?: ?(?!{KNOWN})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"
 DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d|[./-]\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"
+IP6_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+IP6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:{IP6_GROUPS}{{7}}|[0-9A-Fa-f]{{3,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}}::(?:{IP6_GROUPS}{{0,6}})?)(?![0-9A-Za-z:]|\.[0-9])"
+SSN = r"(?<![\d-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?!\d|-\d)"
 PHONE = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d(])\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}(?!\d)|\+[2-9]\d(?:[ .()-]{0,2}\d){6,13}(?!\d)"
 #: What ends a run of groups of digits: a group that begins something else.
-OTHER = rf"{MAIL}|{IP}|{SSN}|{PHONE}|(?<![\d./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?!\d|[./-]\d)"
+OTHER = rf"{MAIL}|{IP}|{IP6}|{SSN}|{PHONE}|(?<![\d./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?!\d|[./-]\d)"
 #: The whole run of groups that a card may lie in.
 CARD = rf"(?<![\dA-Za-z])(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z])(?:[ -](?!{OTHER})\d++(?![A-Za-z]))*+"
-ANY = "|".join((MAIL, SECRET, IBAN, DATE, IP, SSN, PHONE, CARD))
+ANY = "|".join((MAIL, SECRET, IBAN, DATE, IP, IP6, SSN, PHONE, CARD))
 #: What a text must hold for any of them.
 HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 
@@ -81,12 +85,12 @@ def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-def _refill(v: Column, digits: Column) -> Column:
-    """``v`` with its digits replaced, one after the other, by ``digits``."""
+def _refill(v: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """``v`` with its digits, or characters of another kind, replaced one after the other by ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
     def put(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
+        digit = c.rlike(kind)
         return F.struct(F.concat(acc["out"], F.when(digit, F.substr(digits, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), F.when(digit, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
 
     return F.aggregate(_chars(v), start, put, lambda acc: acc["out"])
@@ -192,11 +196,17 @@ def _phone(key: str, v: Column) -> Column:
 
 
 def _ssn(key: str, v: Column) -> Column:
-    part = lambda at, n: F.substr(v, F.lit(at), F.lit(n)).cast("int")
-    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
-    pair = feistel(key, "ssn", area - 1 - (area > 666).cast("int"), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    new = _let(pair, lambda p: F.concat_ws("-", _pad(p["l"] + 1 + (p["l"] >= 665).cast("int"), 3), _pad(F.floor(p["r"] / 9999) + 1, 2), _pad(p["r"] % 9999 + 1, 4)))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new).otherwise(v)
+    def made(d: Column) -> Column:
+        part = lambda at, n: F.substr(d, F.lit(at), F.lit(n)).cast("int")
+        area, group, serial = part(1, 3), part(4, 2), part(6, 4)
+        tax = area >= 900
+        left = F.when(tax, area - 900).otherwise(area - 1 - (area > 666).cast("int"))
+        pair = feistel(key, F.when(tax, "tax").otherwise("ssn"), left, (group - 1) * 9999 + serial - 1, F.when(tax, 100).otherwise(898), 99 * 9999)
+        first = lambda p: F.when(tax, p["l"] + 900).otherwise(p["l"] + 1 + (p["l"] >= 665).cast("int"))
+        new = _let(pair, lambda p: F.concat(_pad(first(p), 3), _pad(F.floor(p["r"] / 9999) + 1, 2), _pad(p["r"] % 9999 + 1, 4)))
+        return F.when((area > 0) & (area != 666) & (group > 0) & (serial > 0), _refill(v, new)).otherwise(v)
+
+    return _let(_digits(v), made)
 
 
 def _ip(key: str, v: Column) -> Column:
@@ -209,30 +219,88 @@ def _ip(key: str, v: Column) -> Column:
     return _let(F.split(v, r"\."), made)
 
 
+def _ip6(key: str, v: Column) -> Column:
+    """The eight groups in full; what doesn't come to eight stays."""
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    short = v.contains("::")
+    head, tail = groups(F.substring_index(v, "::", 1)), F.when(short, groups(F.substring_index(v, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+    def made(g: Column) -> Column:
+        word = lambda k: F.conv(F.concat(F.lpad(F.element_at(g, k), 4, "0"), F.lpad(F.element_at(g, k + 1), 4, "0")), 16, 10).cast("long")
+        halves = [feistel(key, f"ip6 {k}", word(k), word(k + 2), 1 << 32, 1 << 32) for k in (1, 5)]
+        text = lambda n: F.lpad(F.lower(F.conv(n.cast("string"), 10, 16)), 8, "0")
+        four = lambda p: F.concat_ws(":", *(F.substr(text(p[c]), F.lit(at), F.lit(4)) for c in ("l", "r") for at in (1, 5)))
+        return F.when(F.size(g) == 8, F.concat_ws(":", *(_let(h, four) for h in halves))).otherwise(v)
+
+    fill = F.when(short, F.greatest(8 - F.size(head) - F.size(tail), F.lit(1))).otherwise(0)
+    return _let(F.concat(head, F.array_repeat(F.lit("0"), fill), tail), made)
+
+
+BASE = "1800-01-01"
+#: Months, and days up to the 12th and after it, in 400 years.
+MONTHS, EARLY, LATE = 4800, (240, 240), (9, 9833)
+
+
+def _permuted_day(key: str, day: Column) -> Column:
+    """The pseudonym of a date: among the days up to the 12th of a month, or among the later ones."""
+    base = F.lit(BASE).cast("date")
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    begin = lambda k: F.add_months(base, k.cast("int"))
+    later = lambda k: F.datediff(begin(k), base) - 12 * k  # later days before month k
+    early = feistel(key, "date", F.floor((month * 12 + F.dayofmonth(day) - 1) / EARLY[1]), (month * 12 + F.dayofmonth(day) - 1) % EARLY[1], *EARLY)
+    early = _let(_let(early, lambda p: p["l"] * EARLY[1] + p["r"]), lambda n: F.date_add(begin(F.floor(n / 12)), (n % 12).cast("int")))
+    rank = later(month) + F.dayofmonth(day) - 13
+    late = _let(feistel(key, "late date", F.floor(rank / LATE[1]), rank % LATE[1], *LATE), lambda p: p["l"] * LATE[1] + p["r"])
+
+    def placed(n: Column) -> Column:
+        guess = F.floor(n * MONTHS / (LATE[0] * LATE[1]))  # off by one month at most
+        of = F.when(n >= later(guess + 1), guess + 1).when(n >= later(guess), guess).otherwise(guess - 1)
+        return _let(of, lambda k: F.date_add(begin(k), (12 + n - later(k)).cast("int")))
+
+    return F.when(F.dayofmonth(day) <= 12, early).otherwise(_let(late, placed))
+
+
 def _date(key: str, v: Column) -> Column:
-    """Days of the 400-year cycle from 1800-01-01, 189 * 773 in number. A date that can only be day/month/year keeps its day."""
-    shape = F.when(v.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(v.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(v.rlike(r"^\d{2}\."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    """month/day/year, or day/month/year where only that is a date."""
     digits = _digits(v)
     part = lambda at, n: F.substr(digits, F.lit(at), F.lit(n))
-    first = v.rlike(r"^\d{4}")
-    dotted = v.contains(".")
-    iso = F.when(first, F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))).when(dotted, F.concat_ws("-", part(5, 4), part(3, 2), part(1, 2))).otherwise(F.concat_ws("-", part(5, 4), part(1, 2), part(3, 2)))
-    day = F.datediff(iso.try_cast("date"), F.lit("1800-01-01").cast("date"))
-    pair = feistel(key, "date", F.floor(day / 773), day % 773, 189, 773)
-    new = _let(pair, lambda p: F.date_add(F.lit("1800-01-01").cast("date"), (p["l"] * 773 + p["r"]).cast("int")))
-    text = _let(new, lambda d: F.when(shape == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(shape == "yyyy/MM/dd", F.date_format(d, "yyyy/MM/dd")).when(shape == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
-    dd, mm, yy = part(1, 2).cast("int"), part(3, 2).cast("int"), part(5, 4).cast("int")
-    months = F.when(dd <= 28, F.lit(12)).otherwise(F.lit(1))
-    reverse = _let(feistel(key, "day", yy - 1800, F.when(dd <= 28, mm - 1).otherwise(F.lit(0)), 400, months), lambda p: F.concat_ws("/", part(1, 2), F.when(dd <= 28, _pad(p["r"] + 1, 2)).otherwise(part(3, 2)), _pad(p["l"] + 1800, 4)))
-    european = ~first & ~dotted & (dd > 12) & mm.between(1, 12) & yy.between(1800, 2199) & ((dd <= 28) | (mm != 2)) & F.concat_ws("-", part(5, 4), part(3, 2), part(1, 2)).try_cast("date").isNotNull()
-    return F.when(day.between(0, 146_096), text).when(european, reverse).otherwise(v)
+    first, dotted = v.rlike(r"^\d{4}"), v.contains(".")
+    date = lambda y, m, d: F.concat_ws("-", y, m, d).try_cast("date")
+    american, european = date(part(5, 4), part(1, 2), part(3, 2)), date(part(5, 4), part(3, 2), part(1, 2))
+    day = F.when(first, date(part(1, 4), part(5, 2), part(7, 2))).when(dotted, european).otherwise(F.coalesce(american, european))
+    shape = F.when(first, F.when(v.contains("-"), 1).otherwise(2)).when(dotted, 3).when(american.isNotNull(), 4).otherwise(5)
+    spelled = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
+
+    def made(d: Column) -> Column:
+        text = F.when(shape == 1, F.date_format(d, spelled[0]))
+        for k, pattern in enumerate(spelled[1:], 2):
+            text = text.when(shape == k, F.date_format(d, pattern))
+        return text
 
+    inside = _let(day, lambda d: F.when(F.year(d).between(1800, 2199), _let(_permuted_day(key, d), made)))
+    return F.coalesce(inside, v)
 
-def _word(key: str, kind: str, s: Column) -> Column:
+
+def _hashed(key: str, kind: str, s: Column) -> Column:
     """A keyed hash of the same length."""
     return _let(s, lambda x: F.substr(F.repeat(_hash(key, kind, x), F.ceil(F.length(x) / 64).cast("int")), F.lit(1), F.length(x)))
 
 
+def _word(key: str, kind: str, s: Column) -> Column:
+    """Lower-case letters and digits permuted among those of their number, in the places they have; over 22 of them, a hash."""
+    def made(x: Column) -> Column:
+        n = F.length(x)
+        u = F.floor(n / 2).cast("int")
+        number = lambda at, size: F.coalesce(F.conv(F.substr(x, at, size), 36, 10).cast("long"), F.lit(0).cast("long"))
+        power = lambda k: F.pow(F.lit(36.0), k).cast("long")
+        out = feistel(key, F.concat(F.lit(kind), n.cast("string")), number(F.lit(1), u), number(u + 1, n - u), power(u), power(n - u))
+        text = lambda k, size: F.lpad(F.lower(F.conv(k.cast("string"), 10, 36)), size, F.lit("0"))
+        new = _let(out, lambda p: F.concat(F.when(u > 0, text(p["l"], u)).otherwise(F.lit("")), text(p["r"], n - u)))
+        return F.when(n == 0, s).when(n <= 22, _refill(s, new, "[a-z0-9]")).otherwise(_hashed(key, kind, s))
+
+    return _let(F.regexp_replace(s, "[^a-z0-9]", ""), made)
+
+
 def _mail(key: str, v: Column) -> Column:
     lower = F.lower(v)
     labels = F.split(F.substring_index(lower, "@", -1), r"\.")
@@ -242,19 +310,19 @@ def _mail(key: str, v: Column) -> Column:
 
 def _secret(key: str, v: Column) -> Column:
     value = F.regexp_extract(v, r"[A-Za-z0-9_+/.-]+$", 0)
-    named = F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), _word(key, "secret", value))
-    return F.when(v.rlike(r"^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_word(key, "secret", F.substr(v, F.lit(5), F.lit(16)))))).otherwise(named)
+    named = F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), _hashed(key, "secret", value))
+    return F.when(v.rlike(r"^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(_word(key, "access", F.lower(F.substr(v, F.lit(5), F.lit(16))))))).otherwise(named)
 
 
 def pseudonym(v: Column, key: str) -> Column:
     """The pseudonym of one candidate; the candidate itself if it doesn't validate."""
     whole = lambda p: v.rlike(f"^(?:{p})$")
     out = F.when(v.contains("@"), _mail(key, v)).when(whole(SECRET), _secret(key, v)).when(whole(IBAN), _iban(key, v))
-    out = out.when(whole(DATE), _date(key, v)).when(whole(IP), _ip(key, v)).when(whole(SSN), _ssn(key, v))
+    out = out.when(whole(DATE), _date(key, v)).when(whole(IP), _ip(key, v)).when(whole(IP6), _ip6(key, v)).when(whole(SSN), _ssn(key, v))
     return out.when(whole(PHONE), _phone(key, v)).otherwise(_cards(key, v))
 
 
-def pseudonymize(docs: DataFrame, *, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its text under pseudonyms; all other columns, and rows without candidates, stay as they are.
 
     Null and empty texts stay. Repeated rows stay and get equal texts, as do ties of any kind: a pseudonym
@@ -273,4 +341,4 @@ def pseudonymize(docs: DataFrame, *, key: str = KEY, text_col: str = "text") ->
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table with its texts under pseudonyms."""
-    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key=TEST_KEY)

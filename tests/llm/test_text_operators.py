@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import pytest
@@ -344,6 +345,8 @@ def test_pseudonyms_keep_format_and_validity(spark):
         assert old != got
         if "@" not in old and "AKIA" not in old and "password" not in old and old.count(".") != 3:
             assert shape(old) == shape(got)
+        else:
+            assert re.sub("[0-9A-Za-z]+", "0", old) == re.sub("[0-9A-Za-z]+", "0", got)
     assert luhn(new[0]) and luhn(new[2]) and new[1].replace(" ", "") == new[0]
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", new[3]) and new[4].replace("-", "") == re.sub(r"\D", "", new[3])[1:]
     assert all(int(o) < 256 for o in new[7].split("."))
@@ -392,18 +395,123 @@ def test_permutations_are_one_to_one(spark):
     assert out.where("p.l between 0 and 188 and p.r between 0 and 6").distinct().count() == 189 * 7
     days = [f"{d:02}.{m:02}.2001" for m in range(1, 13) for d in range(1, 29)]
     assert len(set(replaced(spark, days))) == len(days)
+    names = [f"{a}@h.example.com" for a in string.ascii_lowercase + string.digits]
+    new = replaced(spark, names)
+    assert len({x.split("@")[0] for x in new}) == 36 and len({x.split("@")[1] for x in new}) == 1 and all(len(x) == len(names[0]) for x in new)
+
+
+def test_every_day_has_its_own_pseudonym_of_its_kind(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit(pii.BASE).cast("date"), F.col("id").cast("int")).alias("d"))
+    both = days.select("d", pii._permuted_day("k", F.col("d")).alias("p"))
+    same = (F.dayofmonth("d") <= 12) == (F.dayofmonth("p") <= 12)
+    seen = both.agg(F.count_distinct("p").alias("n"), F.count_if(~same).alias("odd"), F.min("p").cast("string").alias("low"), F.max("p").cast("string").alias("high")).first()
+    assert tuple(seen) == (146_097, 0, "1800-01-01", "2199-12-31")
+
+
+def test_notations_of_a_day_are_linked(spark):
+    days = [(1999, 12, 31), (2024, 2, 29), (1800, 1, 13), (2001, 3, 4)]
+    spelled = lambda y, m, d: [f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{d}/{m}/{y}"]
+    new = replaced(spark, [x for y, m, d in days for x in spelled(y, f"{m:02}", f"{d:02}")])
+    for k, (_, _, d) in enumerate(days):
+        got = new[5 * k : 5 * k + 5]
+        want = spelled(*got[0].split("-"))
+        assert got[:4] == want[:4] and (d <= 12 or got[4] == want[4])
+
+
+def plain_feistel(key, kind, left, right, a, b):
+    for k in range(1, pii.ROUNDS + 1):
+        said = int(hashlib.sha256(f"{key}|{kind}|{k}|{right if k % 2 else left}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + said) % a, right) if k % 2 else (left, (right + said) % b)
+    return left, right
+
+
+def plain_decimal(key, kind, d):
+    n, u = len(d), len(d) // 2
+    a, b = plain_feistel(key, f"{kind}{n}", int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (n - u))
+    return (f"{a:0{u}}" if u else "") + f"{b:0{n - u}}"
+
+
+def plain_card(d):
+    body = d[0] + plain_decimal("k", "card", d[1:-1])
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def plain_iban(s):
+    account = plain_decimal("k", "iban", re.sub(r"\D", "", s[4:]))
+    it = iter(account)
+    new = "".join(next(it) if c.isdigit() else c for c in s[4:])
+    spelled = int("".join(str(int(c, 36)) for c in new + s[:2] + "00"))
+    return f"{s[:2]}{98 - spelled % 97:02}{new}"
+
+
+def plain_word(kind, s):
+    x = re.sub("[^a-z0-9]", "", s)
+    n, u = len(x), len(x) // 2
+    a, b = plain_feistel("k", f"{kind}{n}", int(x[:u] or "0", 36), int(x[u:], 36), 36**u, 36 ** (n - u))
+    digits = lambda v, size: "".join((string.digits + string.ascii_lowercase)[v // 36**k % 36] for k in range(size - 1, -1, -1))
+    it = iter(digits(a, u) + digits(b, n - u))
+    return "".join(next(it) if c.isalnum() else c for c in s)
+
+
+def plain_ssn(v):
+    area, group, serial = map(int, re.split("[ -]", v))
+    tax = area >= 900
+    a, b = plain_feistel("k", "tax" if tax else "ssn", area - 900 if tax else area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 100 if tax else 898, 99 * 9999)
+    it = iter(f"{a + 900 if tax else a + 1 + (a >= 665):03}{b // 9999 + 1:02}{b % 9999 + 1:04}")
+    return "".join(next(it) if c.isdigit() else c for c in v)
+
+
+def plain_ip(v):
+    o = [*map(int, v.split("."))]
+    a, b = plain_feistel("k", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
+    return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+
+def plain_ip6(v):
+    import ipaddress
+
+    n = int(ipaddress.IPv6Address(v))
+    w = [n >> 96, n >> 64 & 0xFFFFFFFF, n >> 32 & 0xFFFFFFFF, n & 0xFFFFFFFF]
+    out = [*plain_feistel("k", "ip6 1", *w[:2], 1 << 32, 1 << 32), *plain_feistel("k", "ip6 5", *w[2:], 1 << 32, 1 << 32)]
+    return ":".join(f"{x >> 16:04x}:{x & 0xFFFF:04x}" for x in out)
+
+
+def test_pseudonyms_equal_a_plain_version(spark):
+    """Every kind against permutations and check digits written anew in Python, alone and in random texts."""
+    r = random.Random(21)
+    digits = lambda n: "".join(r.choice(string.digits) for _ in range(n))
+    word = lambda n: "".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(n))
+    cards = [next(d for c in string.digits if luhn(d := body + c)) for body in (r.choice("3456") + digits(n - 2) for n in (13, 15, 16, 16, 19) for _ in range(3))]
+    ibans = [plain_iban(f"{c}00{bank}{digits(n)}") for c, bank, n in (("DE", "", 18), ("GB", "WEST", 14), ("BE", "", 12), ("MT", "MALT", 23))]
+    mails = [f"{word(a)}.{word(b)}@{word(c)}-{word(2)}.example.org" for a, b, c in ((1, 1, 1), (3, 8, 5), (11, 11, 9), (6, 2, 12))]
+    mail = lambda v: plain_word("mail", v.split("@")[0]) + "@" + ".".join(plain_word("host", x) for x in v.split("@")[1].split(".")[:-1]) + ".org"
+    ssns = ["123-45-6789", "899 99 9999", "901-70-1234", "999 88 0001", "665-01-0001", "667-01-0001"]
+    ips = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(6)]
+    ip6s = ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "2001:db8:1:2:3:4:5:6", "2a02:26f0::"]
+    cases = [(v, plain_card(v)) for v in cards] + [(v, plain_iban(v)) for v in ibans] + [(v, mail(v)) for v in mails]
+    cases += [(v, plain_ssn(v)) for v in ssns] + [(v, plain_ip(v)) for v in ips] + [(v, plain_ip6(v)) for v in ip6s]
+    assert replaced(spark, [v for v, _ in cases]) == [x for _, x in cases]
+    assert plain_ip6(ip6s[0]) == plain_ip6(ip6s[1])
+    filler = ["the", "of 7 days,", "costs 12 EUR;", "in 2024", "std::vector", "a::b", "10:30:00", "(no. 5)", "x"]
+    texts, want = [], []
+    for _ in range(150):
+        parts = [r.choice([(f, f) for f in filler] + [r.choice(cases)] * 5) for _ in range(r.randrange(1, 9))]
+        texts.append(" and ".join(a for a, _ in parts))
+        want.append(" and ".join(b for _, b in parts))
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [x.text for x in pii.pseudonymize(rows, key="k").orderBy("doc_id").collect()] == want
 
 
 def test_pseudonymize_edges(spark):
     table = docs(spark, [*EDGES, (1, "mail x.1@m.example.com"), (2, "mail x.1@m.example.com, 4785380592391139")])
-    out = pii.pseudonymize(table)
+    out = pii.pseudonymize(table, key="k")
     assert out.columns == table.columns and out.count() == table.count()
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     same = {(r.doc_id, r.text) for r in out.where("doc_id >= 900 or doc_id is null").collect()}
     assert same == set(EDGES)
     one, two = (out.where(f"doc_id = {k}").first().text for k in (1, 2))
     assert two.startswith(one) and "x.1@" not in one and "4785380592391139" not in two
-    assert pii.pseudonymize(table.limit(0)).count() == 0
+    assert pii.pseudonymize(table.limit(0), key="k").count() == 0
 
 
 # ---- repeated passages
