@@ -39,8 +39,17 @@ def blob_path(hex_digest: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Decimal units with one place from a thousand on."""
-    in_unit = lambda n, unit: F.format_string(f"%.1f{unit}", size / F.lit(float(n)))
+    """Decimal units with one place from a thousand on: the exact binary quotient is rounded, halves to even."""
+    def in_unit(n: int, unit: str) -> Column:
+        quotient = size / F.lit(float(n))
+        whole = F.floor(quotient)
+        # Twentieths of the fraction, exact: it has 52 binary places at most.
+        twentieths = ((quotient - whole) * F.lit(2.0**52)).cast("long") * 20
+        tenth, rest = F.shiftright(twentieths, 53), twentieths.bitwiseAND(F.lit((1 << 53) - 1))
+        up = (rest > (1 << 52)) | ((rest == (1 << 52)) & (tenth % 2 == 1))
+        tenths = whole * 10 + tenth + up.cast("int")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+
     return F.when(size >= 1_000_000_000, in_unit(10**9, "G")).when(size >= 1_000_000, in_unit(10**6, "M")).when(size >= 1000, in_unit(1000, "K")).otherwise(F.concat(size.cast("string"), F.lit("B")))
 
 

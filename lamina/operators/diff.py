@@ -56,14 +56,23 @@ def move_classes(grouped: DataFrame) -> DataFrame:
 
 
 def cross_repository(cache: DataFrame, left_repo: int, right_repo: int, *, left_prefix: str = "", right_prefix: str = "", limit: int | None = None) -> DataFrame:
-    """(object_id, left_paths, right_paths) over two repositories' caches; deleted paths have a null object.
+    """(object_id, left_paths, right_paths) of present paths over two repositories' caches; ``cross_deleted`` has the deleted ones.
 
-    ``limit``: more rows than this on a side are an error, found when the result is computed.
+    ``limit``: more rows than this on a side, deleted ones too, are an error, found when the result is computed.
     """
-    one = lambda repo, k, p: cache.where((F.col("repository_id") == repo) & F.col("path").startswith(p)).select(F.when(F.col("status") == 1, F.col("object_id")).alias("object_id"), "path", F.lit(k).alias("side"))
-    rows = one(left_repo, 1, left_prefix).union(one(right_repo, 2, right_prefix))
+    rows = _both(cache, left_repo, right_repo, left_prefix, right_prefix)
     if limit is not None:
         most = rows.groupBy("side").count().agg(F.max("count").alias("most"))
         guard = F.when(F.col("most") > limit, F.raise_error(F.lit(f"more than {limit} rows on a side"))).otherwise(F.lit(True))
         rows = rows.crossJoin(F.broadcast(most)).where(guard).drop("most")  # one row
-    return _paths_by_object(rows)
+    return _paths_by_object(rows.where("status = 1"))
+
+
+def _both(cache: DataFrame, left_repo: int, right_repo: int, left_prefix: str, right_prefix: str) -> DataFrame:
+    one = lambda repo, k, p: cache.where((F.col("repository_id") == repo) & F.col("path").startswith(p)).select("object_id", "path", "status", F.lit(k).alias("side"))
+    return one(left_repo, 1, left_prefix).union(one(right_repo, 2, right_prefix))
+
+
+def cross_deleted(cache: DataFrame, left_repo: int, right_repo: int, *, left_prefix: str = "", right_prefix: str = "") -> DataFrame:
+    """(side, path) of the deleted paths, side 1 or 2."""
+    return _both(cache, left_repo, right_repo, left_prefix, right_prefix).where("status = 0").select("side", "path")

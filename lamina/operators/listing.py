@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import keys, paths
 
 
 def log(snapshots: DataFrame, counters: DataFrame, *, after: Column | None = None, before: Column | None = None, limit: int | None = None) -> DataFrame:
@@ -24,9 +24,10 @@ def show(entries: DataFrame, objects: DataFrame, snapshot_id: int) -> DataFrame:
     return rows.select("path", paths.status_label(F.col("status")).alias("state"), "object_id", paths.short_digest(F.col("digest")).alias("digest"), "size", "depth")
 
 
-def files(cache: DataFrame, repository_id: int, prefix: str = "") -> DataFrame:
-    """Present paths of a repository below a literal, case-sensitive prefix."""
-    return cache.where((F.col("repository_id") == repository_id) & (F.col("status") == 1) & F.col("path").startswith(prefix))
+def files(cache: DataFrame, repository_id: int, prefix: str = "", *, wildcards: bool = False) -> DataFrame:
+    """Present paths of a repository below a literal, case-sensitive prefix; ``wildcards``: % and _ in it stand for any text, any character."""
+    fits = F.col("path").like(f"{prefix}%") if wildcards else F.col("path").startswith(prefix)
+    return cache.where((F.col("repository_id") == repository_id) & (F.col("status") == 1) & fits)
 
 
 def children(cache: DataFrame, repository_id: int, directory: str) -> DataFrame:
@@ -73,13 +74,17 @@ def by_hex_prefix(objects: DataFrame, prefix: str) -> DataFrame:
 
     A range on the digest that holds the prefix reaches the scan.
     """
-    last = chr(ord(prefix[-1]) + 1)
-    found = objects.where((F.col("digest") >= prefix) & (F.col("digest") < prefix[:-1] + last) & F.col("digest").startswith(prefix))
+    found = objects
+    if prefix:
+        last = chr(ord(prefix[-1]) + 1)
+        found = objects.where((F.col("digest") >= prefix) & (F.col("digest") < prefix[:-1] + last) & F.col("digest").startswith(prefix))
     return found.agg(F.count("*").alias("matches"), F.min("object_id").alias("object_id"), F.min("digest").alias("digest"))
 
 
 def api_rows(cache: DataFrame, objects: DataFrame) -> DataFrame:
-    """Rows as an API shows them: ids as text, digests in hex, times in RFC 3339."""
+    """Rows as an API shows them: ids as text, digests in hex, times in RFC 3339, is_directory where the cache has modes."""
+    more = [(F.col("mode") == 0o040000).alias("is_directory")] if "mode" in cache.columns else []
+    zoned = cache.schema["mtime"].dataType.typeName() == "timestamp"
     rows = cache.join(objects, "object_id", "left")
     return rows.select(
         F.col("repository_id").cast("string").alias("repository_id"),
@@ -89,5 +94,6 @@ def api_rows(cache: DataFrame, objects: DataFrame) -> DataFrame:
         F.col("object_id").cast("string").alias("object_id"),
         "digest",
         "size",
-        F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"),
+        keys.rfc3339(F.col("mtime"), zoned=zoned).alias("mtime"),
+        *more,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import state
+from . import content, state
 
 
 def pull_rows(snapshots: DataFrame, entries: DataFrame, objects: DataFrame, repository_id: int, cursor: int) -> DataFrame:
@@ -51,14 +51,16 @@ def merge_cache(cache: DataFrame, arriving: DataFrame) -> DataFrame:
 def apply_pull(local: DataFrame, arriving: DataFrame, first_id: int) -> DataFrame:
     """Local snapshots for remote ones (source_snapshot_id, created_at): consecutive ids in their order, each the parent of the next.
 
-    ``local``: the repository's snapshots; its newest one becomes the parent of the first. A pull is one batch of
-    snapshot headers, so ordering them in one task is bounded.
+    ``local``: the repository's snapshots; its newest one becomes the parent of the first.
     """
-    from pyspark.sql.window import Window
+    ordered = arriving.withColumn("__order", F.struct("created_at", "source_snapshot_id"))
+    return chained(local, content.numbered(ordered, "__order", first_id, "snapshot_id").drop("__order"), first_id)
 
-    order = Window.orderBy("created_at", "source_snapshot_id")
+
+def chained(local: DataFrame, numbered: DataFrame, first_id: int) -> DataFrame:
+    """Adds parent_id to snapshots with consecutive ids: the one before, and for the first the newest of ``local``."""
     head = local.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("head"))
-    rows = arriving.withColumn("snapshot_id", F.lit(first_id) + F.row_number().over(order) - 1).crossJoin(F.broadcast(head))
+    rows = numbered.crossJoin(F.broadcast(head))  # one row
     return rows.withColumn("parent_id", F.when(F.col("snapshot_id") == first_id, F.col("head")).otherwise(F.col("snapshot_id") - 1)).drop("head")
 
 

@@ -272,7 +272,7 @@ def diff_move_classes(d: Domain) -> DataFrame:
 
 
 @query("SELECT object_id, left_paths, right_paths FROM g",
-       *(f"{k} AS (SELECT CASE WHEN status = 1 THEN object_id END AS object_id, path FROM f_entry_cache WHERE repository_id = {r} AND starts_with(path, 'd'))" for k, r in (("a", 0), ("b", 1))), GROUPED)
+       *(f"{k} AS (SELECT object_id, path FROM f_entry_cache WHERE repository_id = {r} AND status = 1 AND starts_with(path, 'd'))" for k, r in (("a", 0), ("b", 1))), GROUPED)
 def cross_repo_diff(d: Domain) -> DataFrame:
     return _texts(diff.cross_repository(d.cache, 0, 1, left_prefix="d", right_prefix="d"))
 
@@ -606,3 +606,6 @@ def fast_digest_xxh3(d: Domain) -> DataFrame:
 def digest_blake3(d: Domain) -> DataFrame:
     """Of every document."""
     return d.table("documents").select("doc_id", F.lower(F.hex(hashing.blake3(F.encode("text", "utf-8")))).alias("digest"))
+
+
+from . import more as _more  # noqa: E402, F401  registers its own queries

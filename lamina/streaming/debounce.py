@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
+
+NAMES = ["key", "first", "last", "n"]
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -24,23 +26,28 @@ def relevant(events: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, *, key: str, time: str, quiet: int, max_delay: int) -> DataFrame:
     """(key, first, last, n_events, fired_at, reason) in seconds, of events (key, time in seconds).
 
-    Gaps of at least ``quiet`` cut first, by a window; a stretch without gaps that outlasts ``max_delay`` is cut
-    further, in order, within itself. Equal times are one moment; null times are left out.
+    Rows of a key stream by in order, with its open session as the only state: a gap of ``quiet``, or ``max_delay`` since the
+    session's first event, begins another. Equal times are one moment; null times are left out.
     """
-    by = Window.partitionBy(key).orderBy("t")
     rows = events.select(key, F.col(time).cast("long").alias("t")).where("t is not null").groupBy(key, "t").agg(F.count("*").alias("n"))
-    gap = F.coalesce((F.col("t") - F.lag("t").over(by) >= quiet).cast("int"), F.lit(1))
-    rows = rows.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by))
-    whole = rows.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("x"))
-    none = F.expr("cast(array() as array<struct<first:bigint,last:bigint,n:bigint>>)")
-
-    def add(acc: Column, e: Column) -> Column:
-        now = F.try_element_at(acc, F.lit(-1))
-        fresh = F.array(F.struct(e["t"].alias("first"), e["t"].alias("last"), e["n"].alias("n")))
-        grown = F.array(F.struct(now["first"].alias("first"), e["t"].alias("last"), (now["n"] + e["n"]).alias("n")))
-        return F.when((F.size(acc) > 0) & (e["t"] - now["first"] < max_delay), F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, fresh))
-
-    cut = whole.select(key, F.inline(F.aggregate("x", none, add)))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # key, first, last, n
+        for b in batches:
+            done = []
+            for k, t, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now and now[0] == k and t - now[2] < quiet and t - now[1] < max_delay:
+                    now = (k, now[1], t, now[3] + n)
+                else:
+                    done += [now] if now else []
+                    now = (k, t, t, n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, c.type) for x, c in zip(zip(*done, strict=True), (b.column(0), b.column(1), b.column(1), b.column(2)), strict=True)] if done else [b.column(j).slice(0, 0) for j in (0, 1, 1, 2)], NAMES)
+            types = [b.column(j).type for j in (0, 1, 1, 2)]
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([x], c) for x, c in zip(now, types, strict=True)], NAMES)
+
+    cut = rows.repartition(F.col(key)).sortWithinPartitions(key, "t").mapInArrow(cut_up, f"key {kind}, first long, last long, n long").withColumnRenamed("key", key)
     fired = F.least(F.col("last") + quiet, F.col("first") + max_delay)
     reason = F.when(F.col("first") + max_delay < F.col("last") + quiet, "max_delay").otherwise("quiet")
     return cut.select(key, "first", "last", F.col("n").alias("n_events"), fired.alias("fired_at"), reason.alias("reason"))

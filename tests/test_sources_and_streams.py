@@ -19,18 +19,18 @@ def make(root, names):
 
 def test_file_tree(spark, tmp_path):
     root = str(tmp_path)
-    make(root, ["top.txt", "a/b/c/deep.txt", "a/mid.txt", ".hidden", ".git/config", "a/.git/x", "ignored.txt", "a/keep.log", "a/drop.log", "build/out"])
+    make(root, ["readme.md", "src/lib/core/main.rs", "src/notes", ".hidden", ".git/config", "src/.git/x", "secret.env", "src/keep.log", "src/drop.log", "build/out"])
     with open(os.path.join(root, ".gitignore"), "w") as f:
-        f.write("ignored.txt\nbuild/\n*.log\n!keep.log\n")
+        f.write("secret.env\nbuild/\n*.log\n!keep.log\n")
     got = {r.path: r for r in files.file_tree(spark, root).collect()}
-    assert set(got) == {"top.txt", "a/b/c/deep.txt", "a/mid.txt", ".hidden", ".gitignore", "a/keep.log"}
-    assert got["top.txt"].size == 7 and got["top.txt"].mtime_ns == os.stat(os.path.join(root, "top.txt")).st_mtime_ns
+    assert set(got) == {"readme.md", "src/lib/core/main.rs", "src/notes", ".hidden", ".gitignore", "src/keep.log"}
+    assert got["readme.md"].size == 9 and got["readme.md"].mtime_ns == os.stat(os.path.join(root, "readme.md")).st_mtime_ns
     assert "build/out" in {r.path for r in files.file_tree(spark, root, ignore_files=False).collect()}
     assert ".git/config" in {r.path for r in files.file_tree(spark, root, skip_git=False).collect()}
-    digests = {r.path: r.size for r in files.file_digests(spark, f"file://{root}/a").collect()}
-    assert digests["mid.txt"] == 9
-    cache = files.file_tree(spark, root).where("path <> 'top.txt'").withColumn("status", F.lit(1))
-    assert [r.path for r in files.changed_only(files.file_tree(spark, root), cache).collect()] == ["top.txt"]
+    digests = {r.path: r.size for r in files.file_digests(spark, f"file://{root}/src").collect()}
+    assert digests["notes"] == 9
+    cache = files.file_tree(spark, root).where("path <> 'readme.md'").withColumn("status", F.lit(1))
+    assert [r.path for r in files.changed_only(files.file_tree(spark, root), cache).collect()] == ["readme.md"]
 
 
 ENTRY = "repository_id long, path string, snapshot_id long, status int, object_id long, mtime long, depth int"
