@@ -25,8 +25,8 @@ from .tokens import as_binary, default_tokenizer, encoder, grouped, short_batche
 END_ID, END_CHAR = 0xC480, "\u0100"
 #: Ids in a block of the scan.
 BLOCK_IDS = 1 << 16
-#: Pieces a worker remembers here, where the JVM sorts a task's ids beside it.
-PIECES = 600_000
+#: Pieces a worker remembers, and bytes of text it encodes at once, here, where the JVM sorts a task's ids beside it.
+PIECES, BYTES = 300_000, 1 << 20
 
 
 def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(file, PIECES), 0
-        for b in grouped(batches, 1):
+        for b in grouped(batches, 1, BYTES):
             ends, flat = enc.encode(b.column(1))
             if len(flat) and flat.max() >= END_ID:
                 raise ValueError(f"ids must be below {END_ID}")
