@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_byte_owners
 from .classifier import op7_ngram_logistic
 from .decontaminate import ORACLE_SQL as WINNOWING_SQL
 from .decontaminate import op1_winnowing
+from .hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from .hard_negatives import op13_rotated_negatives
 from .packing import op8_best_fit_packing
 from .pii import op4_feistel_pseudonyms
 from .quality_rules import op2_quality_rules
@@ -22,8 +25,9 @@ from .vbyte import op9_ranked_vbyte
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_quality_rules, op3_simhash_dedup, op4_feistel_pseudonyms, op5_sparse_suffix_array, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie)}
+    each = (op1_winnowing, op2_quality_rules, op3_simhash_dedup, op4_feistel_pseudonyms, op5_sparse_suffix_array, op6_separator_scan, op7_ngram_logistic, op8_best_fit_packing, op9_ranked_vbyte, op10_url_trie, op12_byte_owners, op13_rotated_negatives)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": WINNOWING_SQL, "op5_sparse_suffix_array": SUFFIX_SQL, "op10_url_trie": URL_SQL}
+    return {"op1_winnowing": WINNOWING_SQL, "op5_sparse_suffix_array": SUFFIX_SQL, "op10_url_trie": URL_SQL, "op13_rotated_negatives": NEGATIVES_SQL}
