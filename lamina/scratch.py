@@ -40,7 +40,36 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    fs, at = _place(spark, path)
+    return fs.exists(at)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder; nothing if it isn't there."""
+    fs, at = _place(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all in it, if it is there."""
+    fs, at = _place(spark, path)
+    fs.delete(at, True)
+
+
+def put_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that is there wholly or not at all; FileExistsError if it is there already."""
+    fs, at = _place(spark, path)
+    _, draft = _place(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
