@@ -1,27 +1,31 @@
 """Near copies by the Jaccard similarity of word shingles, found by SimHash with multi-index hashing.
 
-A text gets a SimHash of 704 bits of its set of five-word shingles. It is cut into 32 segments of 22 bits; a table
-names the texts with each segment's value, each text looks up the Hamming ball of radius 1 of each of its segments,
-and complete distances verify what it meets. A quarter of the bits may differ there: at similarity 0.8 about 107 of
-704 do, of unrelated texts 352, with a deviation of 13. The true similarity of what is left decides, so no pair
-below the threshold links.
-
-Two texts at similarity s differ in each bit with probability p = acos(2s / (1 + s)) / pi, so a segment is within
-the ball with q = (1 - p)^22 + 22 p (1 - p)^21, and a pair meets with 1 - (1 - q)^32: 0.99 at 0.8, over 0.999 from
-0.85 on, before links over third texts. (A narrow fingerprint cannot do that: at 0.8 ten of 64 bits differ.) By chance
-a text meets 32 * 12 / 2^22 of all others, which the complete distance drops; from some 10^8 texts on WIDTH should grow.
-
-Texts equal but for case and white space are one node from the start. Where over BUCKET nodes hold or look up a
-value, they would meet in all pairs. They first link to one of them; what is left when each class has come down to the
-row it keeps is compared in pairs, by pairs of shared values where still too many remain.
+A text gets a wide SimHash of its set of five-word shingles, cut into segments. A table names the texts with each segment's
+value, each text looks up the Hamming ball of radius 1 of each of its segments, and complete distances verify what it meets. A
+quarter of the bits may differ there: at similarity 0.8 about 15 in 100 do, of unrelated texts half. The true
+similarity of what is left decides, so no pair below the threshold links.
+
+Two texts at similarity s differ in each bit with probability p = acos(2s / (1 + s)) / pi, so a segment of w bits is within the
+ball with q = (1 - p)^w + w p (1 - p)^(w-1), and a pair meets in one of S segments with 1 - (1 - q)^S. The width grows
+with the logarithm of the number of texts, so that a text meets a few others by chance however many there are; the
+number of segments follows, so that a pair at the threshold meets with probability RECALL (at 0.85 with over 0.999).
+
+Texts equal but for case and white space are one node from the start. Where over FEW nodes hold or look up a value, they are first
+compared with one of them only, again while that joins many of those left; then the nodes that classes keep are compared in pairs where
+BUCKET or fewer meet. Nodes that meet in larger numbers even then are compared exactly by their rarest shingles: two sets at
+the threshold share one of the first n - ceil(0.8 n) + 1 of each, in an order that all sets have in common.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,19 +34,42 @@ from ..scratch import discard, materialize
 from .components import components
 from .tokens import short_batches
 
-SHINGLE, THRESHOLD = 5, 0.8
-#: 64-bit words of a fingerprint, its segments, and the bits of each segment.
-WORDS, SEGMENTS, WIDTH = 11, 32, 22
-#: Bits that may differ between complete fingerprints.
-RADIUS = 64 * WORDS // 4
-#: Nodes that may hold or look up a segment's value and still be compared one with another at once.
-BUCKET = 64
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
+#: Nodes that meet in a value and are paired at once, and once classes have come down to one node.
+FEW, BUCKET = 4, 64
+#: Values, those where most meet, in which a node is compared with one of the others only.
+STARS = 4
+#: Bits of the filter that tells which values nobody holds; it is broadcast, whatever the table's size.
+FILTER_BITS = 27
 #: Shingles whose bits are counted at once, so that a count fits a byte.
 CHUNK = 255
-_SALTS = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64)
 _MIX = [(np.uint64(s), np.uint64(m)) for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))]
-_POWERS = np.int64(1) << np.arange(WIDTH)
-_NUMBERS = np.arange(SEGMENTS) << WIDTH
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Bits of a segment and number of segments."""
+
+    width: int
+    segments: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of a fingerprint."""
+        return -(-self.width * self.segments // 64)
+
+    @property
+    def radius(self) -> int:
+        """Bits that may differ between complete fingerprints."""
+        return 64 * self.words // 4
+
+
+def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Shape:
+    """That of ``n`` texts: 2^7.5 values or more for each text, and as many segments as ``recall`` at the threshold needs."""
+    width = max(12, math.ceil(math.log2(max(n, 2)) + 7.5))
+    p = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    q = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return Shape(width, math.ceil(math.log(1 - recall) / math.log(1 - q)))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,14 +84,15 @@ def shingles(w: list[bytes], size: int = SHINGLE) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)))
 
 
-def fingerprint(grams: set[bytes]) -> np.ndarray:
-    """Bits of the SimHash: one is 1 if over half of the shingles set it in their hash."""
+def fingerprint(grams: set[bytes], n_words: int) -> np.ndarray:
+    """Bits of the SimHash, ``n_words`` times 64: one is 1 if over half of the shingles set it in their hash."""
     from xxhash import xxh64_intdigest
 
+    salts = np.random.default_rng(5).integers(1, 1 << 63, n_words, dtype=np.uint64)
     hashes = np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))
-    counts = np.zeros(64 * WORDS, np.int64)
+    counts = np.zeros(64 * n_words, np.int64)
     for k in range(0, len(hashes), CHUNK):
-        z = hashes[k : k + CHUNK, None] + _SALTS
+        z = hashes[k : k + CHUNK, None] + salts
         for shift, factor in _MIX:
             z = (z ^ (z >> shift)) * factor
         z ^= z >> np.uint64(31)
@@ -72,47 +100,106 @@ def fingerprint(grams: set[bytes]) -> np.ndarray:
     return 2 * counts > len(hashes)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, node, n, fp, keys) for each row: node names its words, n counts its shingles, fp is the fingerprint, keys
-    its segments' values (the segment's number above them)."""
+def _marked(docs: DataFrame, form: Shape) -> DataFrame:
+    """(doc_id, h, node, n, fp) for each row: node names its words, n counts its shingles, fp is the fingerprint."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            nodes, sizes, fps, keys = [], [], [], []
+            nodes, sizes, fps = [], [], []
             for t in b.column(2).to_pylist():
                 w = words(t)
                 grams = shingles(w)
                 nodes.append(int.from_bytes(xxh64_intdigest(b" ".join(w), 42).to_bytes(8, "big"), "big", signed=True))
                 sizes.append(len(grams))
-                fp = fingerprint(grams)
-                fps.append(np.packbits(fp).view(np.int64) if grams else [])
-                keys.append(fp[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH) @ _POWERS + _NUMBERS if grams else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "h", "node", "n", "fp", "keys"],
-            )
+                fps.append(np.packbits(fingerprint(grams, form.words)).view(np.int64) if grams else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "h", "node", "n", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, node long, n long, fp array<long>, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, node long, n long, fp array<long>")
+
+
+def _keys(b: pa.RecordBatch, form: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, keys) of rows (node, fp): a row of keys for each node with words, a segment's number above its value."""
+    b = b.filter(pa.compute.greater(pa.compute.list_value_length(b.column(1)), 0))
+    fp = b.column(1).flatten().to_numpy().reshape(-1, form.words)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, : form.segments * form.width]
+    values = bits.reshape(-1, form.segments, form.width) @ (np.int64(1) << np.arange(form.width))
+    return b.column(0).to_numpy(), values + (np.arange(form.segments) << form.width)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """The two places of each key in the filter."""
+    z = keys.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for shift, factor in _MIX:
+            z = (z ^ (z >> shift)) * factor
+    return np.stack([z >> np.uint64(64 - FILTER_BITS), z & np.uint64((1 << FILTER_BITS) - 1)]).astype(np.int64)
+
 
+def _filter(slots: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS in which the places of ``slots`` (part, bit: 2^15 bits to a part) are set."""
+    got = slots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS - 15, 1 << 12), np.uint8)
+    for part, bits in zip(got["part"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
-def _lookups(index: DataFrame) -> DataFrame:
-    """(key, a): the balls of radius 1 around ``index`` (node, key), without values that nobody holds. Of two values that differ
-    in a bit, that with the bit set looks up the other.
 
-    Bitmaps of the values held, 2^15 bits each, tell which to leave out before anything is shuffled: SEGMENTS * 2^WIDTH bits at
-    most, 16 MB however large the table is.
+def _placed(keys: np.ndarray) -> pa.RecordBatch:
+    at = _slots(keys).ravel()
+    return pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array(at & 0x7FFF)], ["part", "bit"])
+
+
+def _met(nodes: DataFrame, form: Shape) -> DataFrame:
+    """(key, node, holds, k, c): who holds or looks up a value, at distance 1, that two or more do and one holds; k counts them, c is
+    one of those that hold it. Of two values that differ in a bit, that with the bit set looks up the other.
+
+    Twice a filter of the values that matter goes to the tasks, so that little else is shuffled: of all values held, then of those
+    where nodes meet.
     """
-    held = index.groupBy(F.shiftright("key", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit(0x7FFF))).alias("bits"))
-    ball = F.expr("array(0L," + ",".join(f"{1 << b}L" for b in range(WIDTH)) + ")")
-    around = index.select(F.col("node").alias("a"), "key", F.explode(ball).alias("m"))
-    around = around.where((F.col("m") == 0) | (F.col("key").bitwiseAND(F.col("m")) != 0)).select(F.col("key").bitwiseXOR(F.col("m")).alias("key"), "a")
-    found = around.join(F.broadcast(held), F.shiftright("key", 15) == F.col("part"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(shiftright(key & 32767, 3) as int) + 1, 1)), 16, 10) as int)")
-    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(key & 7 as int))")) != 0).select("key", "a")
+    spark = nodes.sparkSession
+    prints = nodes.select("node", "fp")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _placed(_keys(b, form)[1].ravel())
+
+    def meet(shared, exact) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            there = shared.value
+
+            def some(node: np.ndarray, keys: np.ndarray, holds: bool, check: bool) -> pa.RecordBatch:
+                if check:
+                    at = _slots(keys)
+                    good = (there[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0)
+                    node, keys = node[good], keys[good]
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(np.full(len(keys), holds))], ["key", "node", "holds"])
+
+            for b in batches:
+                own, keys = _keys(b, form)
+                node, keys = np.repeat(own, form.segments), keys.ravel()
+                yield some(node, keys, True, exact)
+                for bit in range(form.width):
+                    has = keys >> bit & 1 != 0
+                    yield some(node[has], keys[has] ^ (1 << bit), False, True)
+
+        return prints.mapInArrow(run, "key long, node long, holds boolean")
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _placed(b.column(0).to_numpy())
+
+    first = spark.sparkContext.broadcast(_filter(prints.mapInArrow(held, "part int, bit long")))
+    salted = F.when(F.col("holds"), F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))).alias("x"), "node"))
+    counts = meet(first, False).groupBy("key").agg(F.count("*").alias("k"), F.min(salted).alias("m"))
+    counts = materialize(counts.where("k > 1 and m is not null").select("key", "k", F.col("m.node").alias("c")), "values")
+    again = spark.sparkContext.broadcast(_filter(counts.select("key").mapInArrow(useful, "part int, bit long")))
+    met = materialize(meet(again, True).join(counts, "key"), "met")
+    discard(counts)
+    return met
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -120,24 +207,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _crowded(hits: DataFrame, members: DataFrame, bucket: int) -> DataFrame:
-    """(key): values that over ``bucket`` nodes hold or look up."""
-    held, sought = members.groupBy("key").agg(F.count("*").alias("k")), hits.groupBy("key").agg(F.count("*").alias("k"))
-    return held.union(sought).where(F.col("k") > bucket).select("key").distinct()
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of nodes (node, least)."""
+    at = wanted.select("node", F.col("least.doc_id").alias("d"), F.col("least.h").alias("dh"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), "text")
+    return rows.join(at, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` whose fingerprints are within RADIUS and whose shingles have a Jaccard similarity of ``threshold`` or more."""
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, form: Shape) -> DataFrame:
+    """Those of ``pairs`` whose fingerprints are within the shape's radius and whose shingles have a Jaccard similarity of ``threshold`` or more."""
     one, two = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     both = pairs.distinct().join(one, "a").join(two, "b")
-    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(WORDS)), F.lit(0))
-    close = both.where((bits <= RADIUS) & (F.least("na", "nb") / F.greatest("na", "nb") >= threshold))
+    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(form.words)), F.lit(0))
+    close = both.where((bits <= form.radius) & (F.least("na", "nb") / F.greatest("na", "nb") >= threshold))
     pairs = materialize(close.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("least.doc_id").alias("d"), F.col("least.h").alias("dh"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), "text")
-    texts = rows.join(wanted, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = materialize(_texts(docs, nodes.join(wanted, "node", "left_semi")), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, set()
@@ -164,45 +249,86 @@ def _kept(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).select("x.node", "x.least")
 
 
-def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
+def _rare_pairs(docs: DataFrame, some: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of nodes (node, least) that share one of the rarest shingles of both, as all at ``threshold`` or more do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                grams = shingles(words(t))
+                h = np.fromiter((xxh64_intdigest(g, 7) for g in grams), np.uint64, len(grams)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), len(h))), pa.array(h)], ["node", "n", "g"])
+
+    grams = materialize(_texts(docs, some).mapInArrow(run, "node long, n long, g long"), "grams")
+    common = grams.groupBy("g").agg(F.count("*").alias("f"))
+    placed = grams.join(common, "g").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("f", "g")))
+    first = placed.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("f") > 1)).select("g", "node", "n", "at")
+    first = materialize(first, "rare")
+    one, two = (first.select("g", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at"))) for x in "ab")
+    # What follows the first shingle in common bounds all they have in common.
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")))
+    pairs = materialize(one.join(two, (one["g"] == two["g"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare-pairs")
+    discard(grams)
+    discard(first)
+    return pairs
+
+
+def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """One row of each class of near copies in ``docs`` (doc_id, text), with all its columns: that of the smallest doc_id.
 
-    Of rows that share it, the one with the smallest hash of its text stays, and of exact repeats one. Texts
-    without words are one class; null ids come last, and a class of null ids keeps one row. An empty table gives no rows.
+    A class is linked by pairs of similar texts; no two rows that stay are similar, as far as segments meet. Of rows that share a
+    doc_id, the one with the smallest hash of its text stays, and of exact repeats one. Texts without words are one
+    class; null ids come last, and a class of null ids keeps one row. An empty table gives no rows.
     """
-    marked = materialize(_marked(docs), "marked")
+    form, few = shape(docs.count(), threshold), min(few, bucket)
+    marked = materialize(_marked(docs, form), "marked")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
     discard(marked)
-    index = nodes.select("node", F.explode("keys").alias("key"))
-    salted = F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))).alias("x"), "node")
-    table = index.groupBy("key").agg(F.count("*").alias("size"), F.min(salted).alias("m")).select("key", "size", F.col("m.node").alias("c"))
-    # Most values looked up are nobody's; a value that its only holder alone looks up is of no use either.
-    hits = materialize(_lookups(index).join(table, "key").where("size > 1 or a <> c"), "hits")
-    members = index.withColumnRenamed("node", "b").join(hits.select("key").distinct(), "key", "left_semi")
-    members = materialize(members, "members")
-    hot = materialize(_crowded(hits, members, bucket), "hot")
-    near = hits.join(hot, "key", "left_anti").join(members, "key").select("a", "b")
-    stars = hits.join(hot, "key", "left_semi").select("a", F.col("c").alias("b"))
-    links = _similar(docs, nodes, _ordered(near.union(stars)), threshold)
-    kept = materialize(_kept(nodes, links), "kept")
-    if not hot.isEmpty():
-        alive = kept.select("node")
-        seek = materialize(hits.join(alive.withColumnRenamed("node", "a"), "a", "left_semi").select("key", "a"), "seek")
-        hold = materialize(members.join(alive.withColumnRenamed("node", "b"), "b", "left_semi").select("key", "b"), "hold")
-        seek_hot, hold_hot = (x.join(hot, "key", "left_semi") for x in (seek, hold))
-        still = materialize(_crowded(seek_hot, hold_hot, bucket), "still")
-        few = seek_hot.join(still, "key", "left_anti").join(hold_hot, "key").select("a", "b")
-        seek2 = seek_hot.join(still, "key", "left_semi").join(seek.withColumnRenamed("key", "also"), "a").where("key <> also")
-        hold2 = hold_hot.join(still, "key", "left_semi").join(hold.withColumnRenamed("key", "also"), "b").where("key <> also")
-        many = seek2.join(hold2, ["key", "also"]).select("a", "b")
-        more = _similar(docs, nodes, _ordered(few.union(many)), threshold)
-        for x in (seek, hold, still):
-            discard(x)
-        if not more.isEmpty():
-            kept = materialize(_kept(nodes, links.union(more)), "kept")
-    for x in (hits, members, hot):
-        discard(x)
+    met = _met(nodes, form)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Pairs of nodes that meet in a value which one of them holds."""
+        holders = rows.where("holds").select("key", F.col("node").alias("b"))
+        return _ordered(rows.select("key", F.col("node").alias("a")).join(holders, "key"))
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """Pairs of nodes and those that stand for the values where most others meet them."""
+        most = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "key"))
+        return _ordered(rows.withColumn("r", most).where(F.col("r") <= STARS).select(F.col("node").alias("a"), F.col("c").alias("b")))
+
+    links = [_similar(docs, nodes, paired(met.where(F.col("k") <= few)).union(stars(met.where(F.col("k") > few))), threshold, form)]
+    kept, turn = materialize(_kept(nodes, links[0]), "kept"), 0
+    left = met.where(F.col("k") > few).select("key", "node", "holds")
+    while True:
+        # Of values where more than a few met, those where two or more of the nodes that stay do.
+        turn += 1
+        left = left.join(kept.select("node"), "node", "left_semi")
+        salted = F.when(F.col("holds"), F.struct(F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("x"), "node"))
+        counts = left.groupBy("key").agg(F.count("*").alias("k"), F.min(salted).alias("m"))
+        counts = counts.where("k > 1 and m is not null").select("key", "k", F.col("m.node").alias("c"))
+        alive = materialize(left.join(counts, "key"), "alive")
+        crowd = alive.where(F.col("k") > bucket).select("node").distinct().count()
+        found = _similar(docs, nodes, stars(alive.where(F.col("k") > bucket)), threshold, form) if crowd else None
+        merged = found.count() if found else 0
+        if merged:
+            links.append(found)
+            kept = materialize(_kept(nodes, reduce(DataFrame.union, links)), "kept")
+            left = alive.select("key", "node", "holds")
+        if 20 * merged <= crowd:
+            break
+    pairs = paired(alive.where(F.col("k") <= bucket).join(kept.select("node"), "node", "left_semi"))
+    if crowd:
+        some = alive.where(F.col("k") > bucket).select("node").distinct()
+        pairs = pairs.union(_rare_pairs(docs, kept.join(some, "node", "left_semi"), threshold))
+    more = _similar(docs, nodes, pairs, threshold, form)
+    if not more.isEmpty():
+        kept = materialize(_kept(nodes, reduce(DataFrame.union, [*links, more])), "kept")
+    discard(met)
+    discard(alive)
     best = kept.select(F.col("least.doc_id").alias("d"), F.col("least.h").alias("dh"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
     found = rows.join(best, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left_semi")

@@ -281,6 +281,36 @@ def test_near_duplicates(spark):
 
 # ---- near copies by similarity
 
+def test_a_crowd_below_and_above_the_threshold(spark):
+    """A thousand texts that share most of their words: no two that stay are similar, whichever way they were compared."""
+    base = prose(5, 120, 5000).split()
+    rows = [(k, edited(9000 + k, base, 1 + k % 9)) for k in range(1000)]
+    for options in ({}, {"bucket": 8}):
+        kept = {r.doc_id for r in similar.keep_one(docs(spark, rows), **options).collect()}
+        sets = {k: similar.shingles(similar.words(t)) for k, t in rows}
+        close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 / 1.8 * (len(sets[a]) + len(sets[b]))
+        assert kept and not [(a, b) for a in kept for b in kept if a < b and close(a, b)]
+        assert all(any(k != j and close(k, j) for j in sets) for k in set(sets) - kept)
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    rows = [(k, prose(k // 4, 30 + k % 3, 60) if k % 4 == 0 else edited(k, prose(k // 4, 30, 60).split(), k % 4 - 1)) for k in range(200)]
+    nodes = spark.createDataFrame([(k, t) for k, t in rows], "node long, text string").withColumn("least", F.struct(F.col("node").alias("doc_id"), F.xxhash64("text").alias("h")))
+    got = {(r.a, r.b) for r in similar._rare_pairs(docs(spark, rows), nodes.select("node", "least"), 0.8).collect()}
+    sets = {k: similar.shingles(similar.words(t)) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
+def test_shape_follows_the_number_of_texts():
+    shapes = [similar.shape(n) for n in (0, 1, 1000, 10**5, 10**8)]
+    assert [s.width for s in shapes] == sorted(s.width for s in shapes) and [s.segments for s in shapes] == sorted(s.segments for s in shapes)
+    p = 0.15148
+    for s in shapes:
+        q = (1 - p) ** s.width + s.width * p * (1 - p) ** (s.width - 1)
+        assert 1 - (1 - q) ** s.segments >= 0.99 and 64 * s.words >= s.width * s.segments
+
+
 def edited(seed, words, n):
     r, w = random.Random(seed), list(words)
     for k in r.sample(range(len(w)), n):
