@@ -33,7 +33,7 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_c
     """Tokenize whole texts and write flat files to ``path/kind=tokens``, in one pass and without a shuffle.
 
     Spark's text writer puts the bytes of each document and the end id as its line separator, so the
-    files are committed like any other output and may lie in any store that Spark writes. ``path/kind=order``
+    files are committed like any other output, never compressed, and may lie in any store that Spark writes. ``path/kind=order``
     gets, from the same task, a file of the same name with the documents' ids in the same order. Null and empty
     texts become documents without ids; repeated rows are written each. The vocabulary must lie below 50304.
     """
@@ -55,7 +55,7 @@ def write_flat(docs: DataFrame, path: str, *, tokenizer: str | None = None, id_c
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, row long, value binary")
     lines = out.sortWithinPartitions("kind", "row").select("kind", F.col("value").cast("string").alias("value"))
-    lines.write.partitionBy("kind").option("lineSep", END_CHAR).text(path)
+    lines.write.partitionBy("kind").option("lineSep", END_CHAR).option("compression", "none").text(path)
 
 
 def scan_flat(spark: SparkSession, path: str, *, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -104,10 +104,12 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         return spark.createDataFrame([], "doc_id long, n_tokens long")
     name = lambda c: F.substring_index(c, "/", -1).alias("name")
     order = spark.read.format("binaryFile").load(f"{path}/kind=order")
-    order = order.select(name("path"), F.posexplode(F.split(F.col("content").cast("string"), END_CHAR)).alias("row", "id"))
+    parts = F.split(F.col("content").cast("string"), END_CHAR)  # nothing follows the last end
+    order = order.select(name("path"), F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("row", "id"))
     order = order.select("name", F.col("row").cast("long").alias("row"), F.col("id").try_cast("long").alias("doc_id"))
     counts = scan_flat(spark, f"{path}/kind=tokens").select(name("file"), "row", "n_tokens")
-    return order.join(counts, ["name", "row"]).select("doc_id", "n_tokens")
+    n = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("a document has no end id in "), "name")).cast("long"))
+    return order.join(counts, ["name", "row"], "left").select("doc_id", n.alias("n_tokens"))
 
 
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,24 @@ def test_url_rules_equal_brute_force(spark, limit):
 def test_crc_is_that_of_the_bytes(spark):
     got = spark.createDataFrame([(raw([1, 2, 70000]),)], "ids binary").select(F.crc32("ids")).first()[0]
     assert got == zlib.crc32(raw([1, 2, 70000]))
+
+
+def test_flat_files_under_output_compression(spark, tmp_path):
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("mapreduce.output.fileoutputformat.compress", "true")
+    try:
+        got = separators.count_tokens(docs(spark, ROWS), f"file://{tmp_path}/a")
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == sorted((str(k), len(plain_ids(t))) for k, t in ROWS)
+    finally:
+        hadoop.unset("mapreduce.output.fileoutputformat.compress")
+    # A file that is gone is an error, not fewer rows.
+    separators.write_flat(docs(spark, ROWS), f"file://{tmp_path}/b")
+    gone = next((tmp_path / "b/kind=tokens").glob("*.txt"))
+    keep = separators.write_flat
+    gone.unlink()
+    separators.write_flat = lambda *a, **k: None
+    try:
+        with pytest.raises(Exception, match="has no end id"):
+            separators.count_tokens(docs(spark, ROWS), f"file://{tmp_path}/b").collect()
+    finally:
+        separators.write_flat = keep
