@@ -8,13 +8,15 @@ each operator's docstring says.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, packing, pii, quality_rules, similar
 from lamina.scratch import discard, materialize
 
-#: The setting that holds the key of the pseudonyms; a session without one (tests) uses the test key.
+#: The setting that holds the key of the pseudonyms, so that runs agree; without it each run draws a key that nobody keeps.
 KEY = "spark.lamina.pseudonyms.secret"
 
 
@@ -34,8 +36,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, personal data under pseudonyms with the session's key; n_chars follows the text."""
-    out = pii.pseudonymize(docs, key=spark.conf.get(KEY, pii.TEST_KEY))
+    """The same documents, personal data under pseudonyms with the session's key, or one of this run alone; n_chars follows the text."""
+    out = pii.pseudonymize(docs, key=spark.conf.get(KEY, None) or secrets.token_hex(32))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
