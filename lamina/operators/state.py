@@ -47,6 +47,31 @@ def last_before(snapshots: DataFrame, moment: Column) -> DataFrame:
     return snapshots.where(F.col("created_at") <= moment).groupBy("repository_id").agg(best).select("repository_id", "x.snapshot_id", "x.created_at")
 
 
+def as_of_many(snapshots: DataFrame, probes: DataFrame, *, moment: str = "moment", slot: str = "1 day") -> DataFrame:
+    """``probes`` (repository_id, a moment, others) with snapshot_id: the newest snapshot of the repository at or before the moment.
+
+    Of snapshots of one moment the largest id; null before the first one, for a null moment and for a repository without any.
+    Snapshots and probes are sorted together, and the last snapshot is carried over the probes that follow it: no range join.
+    A repository is dealt out by slots of time, each of which begins with what the slots before it end with, so a large one
+    is not one task. Repeated probes stay.
+    """
+    micros = probes.sparkSession.sql(f"SELECT unix_micros(timestamp '1970-01-01 00:00:00' + interval {slot}) - unix_micros(timestamp '1970-01-01 00:00:00') AS n").first()["n"]
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = F.lit(None)
+    known = snapshots.select("repository_id", at("created_at").alias("__at"), F.col("snapshot_id").alias("__id"), none.cast(probes.schema).alias("__probe"))
+    asked = probes.select("repository_id", at(moment).alias("__at"), none.cast("long").alias("__id"), F.struct(*probes.columns).alias("__probe"))
+    rows = known.union(asked).withColumn("__slot", F.floor(F.col("__at") / micros))
+    newest = F.when(F.col("__id").isNotNull(), F.struct("__at", "__id"))
+    slots = rows.groupBy("repository_id", "__slot").agg(F.max(newest).alias("__last"))
+    before = Window.partitionBy("repository_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("repository_id", "__slot", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    within = Window.partitionBy("repository_id", "__slot").orderBy("__at", F.col("__probe").isNotNull(), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.last(newest, ignorenulls=True).over(within)).where("__probe is not null")
+    same = rows["repository_id"].eqNullSafe(slots["repository_id"]) & rows["__slot"].eqNullSafe(slots["__slot"])
+    found = rows.join(slots, same).select("__probe", F.coalesce("__here", "__carried")["__id"].alias("__found"))
+    return found.select("__probe.*", F.col("__found").alias("snapshot_id"))
+
+
 def after(snapshots: DataFrame, snapshot_id: int) -> DataFrame:
     """Snapshots created after the given one; all of them if it doesn't exist."""
     mark = snapshots.where(F.col("snapshot_id") == snapshot_id).agg(F.max("created_at").alias("mark"))

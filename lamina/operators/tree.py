@@ -16,6 +16,14 @@ from ..functions import hashing, paths
 from ..scratch import materialize
 
 NUL = b"\x00"
+#: How git writes the modes of a folder, a plain file, an executable and a link.
+FOLDER, PLAIN, EXECUTABLE, LINK = "40000", "100644", "100755", "120000"
+
+
+def git_mode(mode: Column) -> Column:
+    """Of a file's mode bits: a link, an executable if anyone may execute it, or a plain file."""
+    link = mode.bitwiseAND(F.lit(0o170000)) == 0o120000
+    return F.when(link, LINK).when(mode.bitwiseAND(F.lit(0o111)) != 0, EXECUTABLE).otherwise(PLAIN)
 
 
 def _join(parts: Column) -> Column:
@@ -35,8 +43,7 @@ def native_digest() -> Column:
 
 def git_digest() -> Column:
     """Of a group of children: a tree in git's object format, directories ordered as if their names ended in a slash."""
-    dir_ = F.col("kind") == "D"
-    mode = F.when(dir_, "40000").otherwise("100644")
+    dir_, mode = F.col("kind") == "D", F.col("mode")
     order = F.encode(F.when(dir_, F.concat("name", F.lit("/"))).otherwise(F.col("name")), "utf-8")
     entry = F.concat(F.encode(F.concat(mode, F.lit(" "), F.col("name")), "utf-8"), F.lit(NUL), F.col("digest"))
     body = _join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), entry.alias("e")))), lambda x: x["e"]))
@@ -55,21 +62,23 @@ def max_depth(files: DataFrame) -> int:
 
 
 def nodes(files: DataFrame, *, depth: int | None = None, digest: Callable[[], Column] = native_digest) -> DataFrame:
-    """(tree, path, kind, digest, n_files, n_dirs) of every file and directory of the trees in ``files`` (tree, path, digest).
+    """(tree, path, kind, mode, digest, n_files, n_dirs) of every file and directory of the trees in ``files`` (tree, path, digest, and
+    mode as git writes it; PLAIN without that column).
 
     The root is the path ''. ``depth``: that of the deepest path, looked up if not given. Trees without files have no rows.
     """
     deepest = max_depth(files) if depth is None else depth
-    cols = ["tree", "path", "kind", "digest", "n_files", "n_dirs"]
+    cols = ["tree", "path", "kind", "mode", "digest", "n_files", "n_dirs"]
+    mode = F.col("mode") if "mode" in files.columns else F.lit(PLAIN)
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    leaves = files.select("tree", "path", F.lit("F").alias("kind"), "digest", one.alias("n_files"), none.alias("n_dirs"), paths.depth(F.col("path")).alias("d"))
+    leaves = files.select("tree", "path", F.lit("F").alias("kind"), mode.alias("mode"), "digest", one.alias("n_files"), none.alias("n_dirs"), paths.depth(F.col("path")).alias("d"))
     levels, dirs = [leaves.select(cols)], None
     for d in range(deepest, -1, -1):
         here = leaves.where(F.col("d") == d).select(cols)
         here = here if dirs is None else here.unionByName(dirs)
         grouped = here.withColumn("name", paths.basename(F.col("path"))).groupBy("tree", paths.parent(F.col("path")).alias("parent"))
         dirs = grouped.agg(digest().alias("digest"), F.sum("n_files").alias("n_files"), (F.sum("n_dirs") + F.count_if(F.col("kind") == "D")).alias("n_dirs"))
-        dirs = dirs.select("tree", F.col("parent").alias("path"), F.lit("D").alias("kind"), "digest", "n_files", "n_dirs")
+        dirs = dirs.select("tree", F.col("parent").alias("path"), F.lit("D").alias("kind"), F.lit(FOLDER).alias("mode"), "digest", "n_files", "n_dirs")
         levels.append(dirs)
     return reduce(DataFrame.unionByName, levels)
 

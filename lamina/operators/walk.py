@@ -32,8 +32,8 @@ def checked(files: DataFrame, width: int) -> DataFrame:
     return files.withColumn("digest", F.when(wrong, F.raise_error(F.concat(F.lit(f"a digest must have {width} bytes: "), "path")).cast("binary")).otherwise(F.col("digest")))
 
 
-def listing(nodes: DataFrame, *, blob_only: bool = False, max_depth: int | None = None, summarize: bool = False, show_root: bool = False) -> DataFrame:
-    """(path, line) of a tree's nodes (path, kind, digest) as a walk prints them: octal mode, type, digest, path.
+def listing(nodes: DataFrame, *, blob_only: bool = False, max_depth: int | None = None, summarize: bool = False, show_root: bool = False, as_json: bool = False) -> DataFrame:
+    """(path, line) of a tree's nodes (path, kind, digest, mode) as a walk prints them: octal mode, type, digest, path; or as JSON.
 
     blob_only: no trees; max_depth: names in a path at most; summarize: the root alone; show_root: the root (``.``) too.
     """
@@ -44,10 +44,14 @@ def listing(nodes: DataFrame, *, blob_only: bool = False, max_depth: int | None
     else:
         rows = rows if show_root else rows.where(~root)
         rows = rows if max_depth is None else rows.where(root | (paths.depth(F.col("path")) < max_depth))
-    mode = F.when(F.col("kind") == "D", f"{DIR_MODE:06o}").otherwise(f"{FILE_MODE:06o}")
+    mode = F.lpad("mode", 6, "0") if "mode" in nodes.columns else F.when(F.col("kind") == "D", f"{DIR_MODE:06o}").otherwise(f"{FILE_MODE:06o}")
     kind = F.when(F.col("kind") == "D", "tree").otherwise("blob")
     shown = F.when(root, ".").otherwise(F.col("path"))
-    return rows.select("path", F.concat(mode, F.lit(" "), kind, F.lit(" "), F.lower(F.hex("digest")), F.lit("\t"), shown).alias("line"))
+    if as_json:
+        line = F.to_json(F.struct(mode.alias("mode"), kind.alias("type"), F.lower(F.hex("digest")).alias("digest"), shown.alias("path")))
+    else:
+        line = F.concat(mode, F.lit(" "), kind, F.lit(" "), F.lower(F.hex("digest")), F.lit("\t"), shown)
+    return rows.select("path", line.alias("line"))
 
 
 def walk_order(path: str = "path") -> Column:

@@ -609,3 +609,4 @@ def digest_blake3(d: Domain) -> DataFrame:
 
 
 from . import more as _more  # noqa: E402, F401  registers its own queries
+from . import deeper as _deeper  # noqa: E402, F401
