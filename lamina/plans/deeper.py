@@ -9,7 +9,7 @@ from ..domain import Domain
 from ..functions import hashing, keys
 from ..operators import cache_table, history, index_tables, state, tree, walk
 from ..scratch import fresh_path
-from ..sources import ignore
+from ..sources import commits, ignore
 from .queries import _GIT, _GIT_ROWS, REPO, _doc_files, _hex, level_sql, query
 
 #: Lines of an ignore file over the paths of the file history (d*/s*/u*.dat).
@@ -57,6 +57,15 @@ def asof_many(d: Domain) -> DataFrame:
     return state.as_of_many(d.snapshots, probes, moment="ts").select("event_id", "snapshot_id")
 
 
+@query("SELECT repository_id, path, snapshot_id, status FROM f_entries")
+def committed_batches(d: Domain) -> DataFrame:
+    """Entries written in commits of at most 100 rows each, and read back."""
+    base = fresh_path(d.spark, "commits")
+    rows = d.entries.select("repository_id", "path", "snapshot_id", "status")
+    commits.write(rows, base, "scan", batch_rows=100)
+    return commits.read(d.spark, base, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
 PAGE = 7
 
 
