@@ -63,6 +63,14 @@ def store_verify(replicas: DataFrame, objects: DataFrame, blobs: DataFrame) -> D
     return rows.select("object_id", "store_id", result.alias("result"))
 
 
+def mark_verified(replicas: DataFrame, verified: DataFrame, moment: Column) -> DataFrame:
+    """Replicas with verified_at: the moment for those that ``store_verify`` found good, for others what it was, null if never."""
+    good = verified.where("result = 'ok'").select("object_id", "store_id", F.lit(True).alias("__good")).distinct()
+    rows = replicas if "verified_at" in replicas.columns else replicas.withColumn("verified_at", F.lit(None).cast("timestamp"))
+    rows = rows.join(good, ["object_id", "store_id"], "left")
+    return rows.withColumn("verified_at", F.when(F.col("__good"), moment).otherwise(F.col("verified_at"))).drop("__good")
+
+
 def tags_search(tags: DataFrame, objects: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """Objects with a tag, with all tags of each as sorted ``key=value`` texts."""
     hit = tags.where(F.col("key") == key)

@@ -37,24 +37,29 @@ def push_apply(here: Tables, repository_id: int, snapshots: DataFrame, entries:
     """What a repository's server holds after snapshots arrive from peers.
 
     snapshots: (source_machine_id, source_snapshot_id, created_at), entries: (source_machine_id, source_snapshot_id, path,
-    status, digest, size, mtime), replicas: (digest, store, url, path, encrypted). Snapshots whose source is known are left
+    status, digest, size, mtime), replicas: (digest, store, url, path, encrypted). Further columns go along where the arrival has
+    them: message and metadata of snapshots, mode of entries, fast_digest of objects, without which a present row is skipped. Snapshots whose source is known are left
     out with all their rows, repeats in the arrival too; present rows without digest or size are skipped; objects, stores
     and replicas are created where they are missing; replicas of unknown objects are skipped. Each new snapshot's parent is
     the one before it, the first one's the newest that is here. Empty arrivals change nothing.
     """
     source = ["source_machine_id", "source_snapshot_id"]
     mine = here.snapshots.where(F.col("repository_id") == repository_id)
-    fresh = sync.new_arrivals(snapshots.groupBy(*source).agg(F.min("created_at").alias("created_at")), mine)
+    told, kinds = [c for c in ("message", "metadata") if c in snapshots.columns], [c for c in ("mode",) if c in entries.columns]
+    first = F.min(F.struct("created_at", *told)).alias("x")
+    fresh = sync.new_arrivals(snapshots.groupBy(*source).agg(first).select(*source, "x.*"), mine)
     ordered = fresh.withColumn("order", F.struct("created_at", *source))
     first_id = _next(here.snapshots, "snapshot_id")
     named = content.numbered(ordered, "order", first_id, "snapshot_id").drop("order")
     headers = sync.chained(mine, named, first_id).withColumn("repository_id", F.lit(repository_id).cast("long"))
 
     rows = sync.acceptable(entries).join(headers.select(*source, "snapshot_id"), source)
-    seen = rows.where("status = 1").select("digest", "size")
-    objects = content.get_or_create(here.objects, seen, _next(here.objects, "object_id"))
+    present = rows.where("status = 1")
+    objects = content.get_or_create(here.objects, present.select("digest", "size"), _next(here.objects, "object_id"))
+    if "fast_digest" in rows.columns:
+        objects = _with_fast_digests(objects, here.objects, present)
     rows = rows.join(objects.select("digest", "object_id"), "digest", "left")
-    rows = rows.select(F.lit(repository_id).cast("long").alias("repository_id"), "snapshot_id", "path", "status", F.when(F.col("status") == 1, F.col("object_id")).alias("object_id"), "mtime", paths.depth(F.col("path")).alias("depth"))
+    rows = rows.select(F.lit(repository_id).cast("long").alias("repository_id"), "snapshot_id", "path", "status", F.when(F.col("status") == 1, F.col("object_id")).alias("object_id"), "mtime", paths.depth(F.col("path")).alias("depth"), *kinds)
 
     wanted = replicas.groupBy(F.col("store").alias("name")).agg(F.min("url").alias("url")).join(here.stores, "name", "left_anti")
     stores = here.stores.select("store_id", "name", "url").unionByName(content.numbered(wanted, "name", _next(here.stores, "store_id"), "store_id").select("store_id", "name", "url"))
@@ -62,11 +67,11 @@ def push_apply(here: Tables, repository_id: int, snapshots: DataFrame, entries:
     first = known.groupBy("object_id", "store_id").agg(F.min(F.struct("path", "encrypted")).alias("x")).select("object_id", "store_id", "x.path", "x.encrypted")
     first = first.join(here.replicas, ["object_id", "store_id"], "left_anti")
 
-    columns = here.snapshots.columns
+    columns = [c for c in here.snapshots.columns if c in headers.columns]
     return replace(
         here,
-        snapshots=here.snapshots.unionByName(headers.select(columns)),
-        entries=here.entries.select(rows.columns).unionByName(rows),
+        snapshots=here.snapshots.unionByName(headers.select(*columns, *(c for c in told if c not in columns)), allowMissingColumns=True),
+        entries=here.entries.select([c for c in here.entries.columns if c in rows.columns]).unionByName(rows, allowMissingColumns=True),
         cache=sync.merge_cache(here.cache, rows),
         objects=objects,
         stores=stores,
@@ -74,6 +79,15 @@ def push_apply(here: Tables, repository_id: int, snapshots: DataFrame, entries:
     )
 
 
+def _with_fast_digests(objects: DataFrame, before: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Adds fast_digest: what an object had, else what arrived with it."""
+    had = before.select("object_id", F.col("fast_digest").alias("had")) if "fast_digest" in before.columns else None
+    new = arrived.groupBy("digest").agg(F.min("fast_digest").alias("new"))
+    rows = objects.join(new, "digest", "left")
+    rows = rows.withColumn("had", F.lit(None).cast("long")) if had is None else rows.join(had, "object_id", "left")
+    return rows.select("object_id", "digest", "size", F.coalesce("had", "new").alias("fast_digest"))
+
+
 def pull_apply(here: Tables, there: Tables, repository_id: int, machine_id: int, cursor: int) -> Tables:
     """What is here after the peer's snapshots beyond a cursor are applied, their entries, objects and replicas with them.
 

@@ -37,6 +37,13 @@ def children(cache: DataFrame, repository_id: int, directory: str) -> DataFrame:
     return files(cache, repository_id, prefix).where(F.col("depth") == depth)
 
 
+def listed(cache: DataFrame, repository_id: int, *, prefix: str = "", directory: str | None = None) -> DataFrame:
+    """``files`` below a prefix or ``children`` of a directory; both at once are an error."""
+    if prefix and directory is not None:
+        raise ValueError("a prefix and a directory exclude each other")
+    return files(cache, repository_id, prefix) if directory is None else children(cache, repository_id, directory)
+
+
 def subdirectories(cache: DataFrame, repository_id: int, directory: str) -> DataFrame:
     """(name, n_files): the directories right in a directory, from the deeper paths."""
     bare = directory.strip("/")

@@ -73,11 +73,16 @@ def as_of_many(snapshots: DataFrame, probes: DataFrame, *, moment: str = "moment
 
 
 def after(snapshots: DataFrame, snapshot_id: int) -> DataFrame:
-    """Snapshots created after the given one; all of them if it doesn't exist."""
+    """Snapshots created after the given one; all of them if it doesn't exist. ``in_order`` sorts them, the oldest first."""
     mark = snapshots.where(F.col("snapshot_id") == snapshot_id).agg(F.max("created_at").alias("mark"))
     return snapshots.crossJoin(F.broadcast(mark)).where(F.coalesce(F.col("created_at") > F.col("mark"), F.lit(True))).drop("mark")  # one row
 
 
+def in_order(snapshots: DataFrame) -> DataFrame:
+    """The oldest first, ties by id: the order in which snapshots after a cursor are sent and applied."""
+    return snapshots.orderBy("created_at", "snapshot_id")
+
+
 def parse_ref(text: str) -> tuple[str, int | datetime]:
     """('latest', n), ('before', moment) or ('id', n) of ``@latest``, ``@latest~N``, ``@2024-01-31``, ``@2024-01-31T10:30`` or a raw id."""
     if m := re.fullmatch(r"@latest(?:~(\d+))?", text):

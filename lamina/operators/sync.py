@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import content, state
@@ -38,14 +40,16 @@ def new_arrivals(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def acceptable(entries: DataFrame) -> DataFrame:
-    """Rows that can be applied: present ones need a digest and a size, others are skipped."""
-    return entries.where((F.col("status") == 0) | (F.col("digest").isNotNull() & F.col("size").isNotNull()))
+    """Rows that can be applied: present ones need a digest and a size, and a fast digest where rows have one, others are skipped."""
+    needed = [F.col(c).isNotNull() for c in ("digest", "size", "fast_digest") if c in entries.columns]
+    return entries.where((F.col("status") == 0) | reduce(Column.__and__, needed))
 
 
 def merge_cache(cache: DataFrame, arriving: DataFrame) -> DataFrame:
     """The cache after entries arrive: the newest row of every path."""
     cols = ["repository_id", "path", "snapshot_id", "status", "object_id", "mtime", "depth"]
-    return state.latest(cache.select(cols).unionByName(arriving.select(cols)))
+    have = lambda rows: rows.select(*cols, *(c for c in ("mode",) if c in rows.columns))
+    return state.latest(have(cache).unionByName(have(arriving), allowMissingColumns=True))
 
 
 def apply_pull(local: DataFrame, arriving: DataFrame, first_id: int) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..domain import Domain
 from ..functions import hashing, keys
-from ..operators import cache_table, history, index_tables, state, tree, walk
-from ..scratch import fresh_path
+from ..operators import cache_table, exchange, history, index_tables, state, tree, walk
+from ..scratch import fresh_path, materialize
 from ..sources import commits, ignore
 from .queries import _GIT, _GIT_ROWS, REPO, _doc_files, _hex, level_sql, query
 
@@ -95,6 +95,26 @@ def index_history(d: Domain) -> DataFrame:
     return table.where(F.col("pk").isin([r["pk"] for r in first])).select("repository_id", "path", "snapshot_id", "status")
 
 
+@query(f"""SELECT c.path, c.status, CASE WHEN c.status = 1 THEN length(c.path) * 100 END AS mode, CASE WHEN c.status = 1 THEN o.object_id * 3 END AS fast_digest, s.message
+FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY snapshot_id DESC) AS rn FROM f_entries WHERE repository_id = {REPO} AND (status = 0 OR object_id % 5 <> 0)) c
+LEFT JOIN f_objects o ON c.object_id = o.object_id JOIN (SELECT snapshot_id, concat('day ', cast(snapshot_id % 1000 AS varchar(20))) AS message FROM f_snapshots) s ON c.snapshot_id = s.snapshot_id WHERE rn = 1""")
+def sync_push_columns(d: Domain) -> DataFrame:
+    """A push into an empty repository with modes, fast digests and messages; rows without a fast digest are skipped."""
+    source = [F.lit(7).cast("long").alias("source_machine_id"), F.col("snapshot_id").alias("source_snapshot_id")]
+    snapshots = d.snapshots.where(F.col("repository_id") == REPO).select(*source, "created_at", F.concat(F.lit("day "), (F.col("snapshot_id") % 1000).cast("string")).alias("message"))
+    fast = F.when(F.col("object_id") % 5 != 0, F.col("object_id") * 3).alias("fast_digest")
+    rows = d.entries.where(F.col("repository_id") == REPO).join(d.objects, "object_id", "left")
+    rows = materialize(rows.select(*source, "path", "status", "digest", "size", "mtime", fast, F.when(F.col("status") == 1, F.length("path") * 100).alias("mode")), "push")
+    none = lambda schema: d.spark.createDataFrame([], schema)
+    empty = exchange.Tables(
+        none("snapshot_id long, repository_id long, parent_id long, created_at timestamp, source_machine_id long, source_snapshot_id long"),
+        d.entries.limit(0).select("repository_id", "snapshot_id", "path", "status", "object_id", "mtime", "depth"), d.cache.limit(0), d.objects.limit(0).select("object_id", "digest", "size"), d.stores.limit(0), d.replicas.limit(0),
+    )
+    after = exchange.push_apply(empty, REPO, materialize(snapshots, "push"), rows, none("digest string, store string, url string, path string, encrypted boolean"))
+    named = after.cache.join(after.objects, "object_id", "left").join(after.snapshots.select("snapshot_id", "message"), "snapshot_id")
+    return named.select("path", "status", F.col("mode").cast("long").alias("mode"), "fast_digest", "message")
+
+
 _MODE = "CASE WHEN doc_id % 7 = 0 THEN '120000' WHEN doc_id % 5 = 0 THEN '100755' ELSE '100644' END"
 _MODED = [
     f"g0 AS (SELECT concat(source, '/', lang, '/', doc_id, '.txt') AS path, {_MODE} AS mode, sha1(unhex(concat(hex(encode(concat('blob ', octet_length(encode(text))))), '00', hex(encode(text))))) AS h FROM documents)",

@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lamina.functions import keys, paths
-from lamina.operators import diff, exchange, listing, state, summary, tree, walk
+from lamina.operators import content, diff, exchange, listing, state, summary, tree, walk
 from lamina.streaming import debounce
 
 
@@ -123,3 +124,36 @@ def test_small_things(spark):
     assert summary.as_json_lines(cache.where("path = 'a' and status = 1").select("path", "object_id")).first().line == '{"path":"a","object_id":5}'
     api = listing.api_rows(cache.withColumn("snapshot_id", F.lit(1)).withColumn("mtime", F.current_timestamp()), spark.createDataFrame([(5, "d", 1)], "object_id long, digest string, size long"))
     assert {x.path: x.is_directory for x in api.where("repository_id = '0'").collect()} == {"a": True, "b%": False}
+
+
+def test_push_carries_modes_messages_and_fast_digests(spark):
+    here = tables(spark, [], [], [], [], [])
+    snaps = spark.createDataFrame([(7, 1, 10, "first", '{"k":1}'), (7, 2, 20, None, None)], "source_machine_id long, source_snapshot_id long, created_at long, message string, metadata string")
+    schema = "source_machine_id long, source_snapshot_id long, path string, status int, digest string, size long, mtime long, fast_digest long, mode int"
+    rows = spark.createDataFrame([(7, 1, "a", 1, "d1", 3, 1, 11, 0o100755), (7, 1, "b", 1, "d2", 4, 1, None, 0o100644), (7, 2, "c", 1, "d1", 3, 2, 12, None), (7, 2, "a", 0, None, None, None, None, None)], schema)
+    none = spark.createDataFrame([], "digest string, store string, url string, path string, encrypted boolean")
+    once = exchange.push_apply(here, 0, snaps, rows, none)
+    assert rows_of(once.snapshots.select("snapshot_id", "message", "metadata")) == [(1, "first", '{"k":1}'), (2, None, None)]
+    assert rows_of(once.entries.select("snapshot_id", "path", "status", "mode")) == [(1, "a", 1, 0o100755), (2, "a", 0, None), (2, "c", 1, None)]
+    assert rows_of(once.objects.select("digest", "fast_digest")) == [("d1", 11)]
+    later = spark.createDataFrame([(7, 3, 30, "third", None)], snaps.schema)
+    rows = spark.createDataFrame([(7, 3, "d", 1, "d1", 3, 3, 99, 0o120777)], schema)
+    twice = exchange.push_apply(once, 0, later, rows, none)
+    assert rows_of(twice.objects.select("digest", "fast_digest")) == [("d1", 11)] and rows_of(twice.cache.select("path", "mode")) == [("a", None), ("c", None), ("d", 0o120777)]
+    assert rows_of(twice.snapshots.select("snapshot_id", "parent_id", "message")) == [(1, None, "first"), (2, 1, None), (3, 2, "third")]
+
+
+def test_verified_moments_orders_and_exclusive_filters(spark):
+    replicas = spark.createDataFrame([(1, 1, "p", False), (2, 1, "q", False)], "object_id long, store_id long, path string, encrypted boolean")
+    found = spark.createDataFrame([(1, 1, "ok"), (2, 1, "corrupt")], "object_id long, store_id long, result string")
+    moment = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    once = content.mark_verified(replicas, found, moment)
+    assert [(r.object_id, str(r.verified_at)) for r in once.orderBy("object_id").collect()] == [(1, "2024-01-02 03:04:05"), (2, "None")]
+    again = content.mark_verified(once, found.where("object_id = 2"), moment)
+    assert [str(r.verified_at) for r in again.orderBy("object_id").collect()] == ["2024-01-02 03:04:05", "None"]
+    snaps = spark.createDataFrame([(3, 5), (1, 5), (2, 1)], "snapshot_id long, created_at long")
+    assert [r.snapshot_id for r in state.in_order(snaps).collect()] == [2, 1, 3]
+    cache = spark.createDataFrame([(0, "a/b", 1, 1), (0, "a/c/d", 1, 2)], "repository_id long, path string, status int, depth int")
+    assert listing.listed(cache, 0, prefix="a/").count() == 2 and [r.path for r in listing.listed(cache, 0, directory="a").collect()] == ["a/b"]
+    with pytest.raises(ValueError, match="exclude each other"):
+        listing.listed(cache, 0, prefix="a", directory="a")
