@@ -11,9 +11,9 @@ with the logarithm of the number of texts, so that a text meets a few others by
 number of segments follows, so that a pair at the threshold meets with probability RECALL (at 0.85 with over 0.999).
 
 Texts equal but for case and white space are one node from the start. Where over FEW nodes hold or look up a value, they are first
-compared with one of them only, again while that joins many of those left; then the nodes that classes keep are compared in pairs where
-BUCKET or fewer meet. Nodes that meet in larger numbers even then are compared exactly by their rarest shingles: two sets at
-the threshold share one of the first n - ceil(0.8 n) + 1 of each, in an order that all sets have in common.
+compared with one of them only, in STARS values each; then the nodes that classes keep are compared in pairs where BUCKET or fewer
+meet. Nodes that meet in larger numbers even then are compared exactly by their rarest shingles: two sets at the threshold
+share one of the first n - ceil(0.8 n) + 1 of each, in an order that all sets have in common.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 #: Nodes that meet in a value and are paired at once, and once classes have come down to one node.
 FEW, BUCKET = 4, 64
 #: Values, those where most meet, in which a node is compared with one of the others only.
-STARS = 4
+STARS = 8
 #: Bits of the filter that tells which values nobody holds; it is broadcast, whatever the table's size.
 FILTER_BITS = 27
 #: Shingles whose bits are counted at once, so that a count fits a byte.
@@ -300,35 +299,21 @@ def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, bucket: int = BUC
         most = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "key"))
         return _ordered(rows.withColumn("r", most).where(F.col("r") <= STARS).select(F.col("node").alias("a"), F.col("c").alias("b")))
 
-    links = [_similar(docs, nodes, paired(met.where(F.col("k") <= few)).union(stars(met.where(F.col("k") > few))), threshold, form)]
-    kept, turn = materialize(_kept(nodes, links[0]), "kept"), 0
-    left = met.where(F.col("k") > few).select("key", "node", "holds")
-    while True:
-        # Of values where more than a few met, those where two or more of the nodes that stay do.
-        turn += 1
-        left = left.join(kept.select("node"), "node", "left_semi")
-        salted = F.when(F.col("holds"), F.struct(F.xxhash64("node", F.lit(turn), F.pmod("key", F.lit(4))).alias("x"), "node"))
-        counts = left.groupBy("key").agg(F.count("*").alias("k"), F.min(salted).alias("m"))
-        counts = counts.where("k > 1 and m is not null").select("key", "k", F.col("m.node").alias("c"))
-        alive = materialize(left.join(counts, "key"), "alive")
-        crowd = alive.where(F.col("k") > bucket).select("node").distinct().count()
-        found = _similar(docs, nodes, stars(alive.where(F.col("k") > bucket)), threshold, form) if crowd else None
-        merged = found.count() if found else 0
-        if merged:
-            links.append(found)
-            kept = materialize(_kept(nodes, reduce(DataFrame.union, links)), "kept")
-            left = alive.select("key", "node", "holds")
-        if 20 * merged <= crowd:
-            break
-    pairs = paired(alive.where(F.col("k") <= bucket).join(kept.select("node"), "node", "left_semi"))
-    if crowd:
-        some = alive.where(F.col("k") > bucket).select("node").distinct()
-        pairs = pairs.union(_rare_pairs(docs, kept.join(some, "node", "left_semi"), threshold))
+    links = _similar(docs, nodes, paired(met.where(F.col("k") <= few)).union(stars(met.where(F.col("k") > few))), threshold, form)
+    kept = materialize(_kept(nodes.select("node", "least"), links), "kept")
+    # Of values where more than a few met, those where two or more of the nodes that stay do.
+    left = materialize(met.where(F.col("k") > few).select("key", "node", "holds").join(kept.select("node"), "node", "left_semi"), "left")
+    counts = left.groupBy("key").agg(F.count("*").alias("k"), F.max("holds").alias("held")).where("k > 1 and held")
+    alive = materialize(left.join(counts.select("key", "k"), "key"), "alive")
+    pairs = paired(alive.where(F.col("k") <= bucket))
+    crowd = materialize(alive.where(F.col("k") > bucket).select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        pairs = pairs.union(_rare_pairs(docs, kept.join(crowd, "node"), threshold))
     more = _similar(docs, nodes, pairs, threshold, form)
     if not more.isEmpty():
-        kept = materialize(_kept(nodes, reduce(DataFrame.union, [*links, more])), "kept")
-    discard(met)
-    discard(alive)
+        kept = materialize(_kept(kept, more), "kept")
+    for x in (met, left, alive, crowd):
+        discard(x)
     best = kept.select(F.col("least.doc_id").alias("d"), F.col("least.h").alias("dh"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
     found = rows.join(best, F.col("k").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left_semi")
