@@ -66,7 +66,8 @@ def _nonce_of(nonce: Column, k: Column, last: Column) -> Column:
 
 
 def _bytes(parts: Column) -> Column:
-    return F.aggregate(parts, F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x))
+    """The parts as one, null if one is null; through hex, since a fold would copy all before it for each."""
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), "", "not hex"))
 
 
 def _seal(text: Column, key: Column, nonce: Column, size: int, aad: Column | None) -> Column:
