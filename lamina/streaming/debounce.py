@@ -29,7 +29,7 @@ def sessions(events: DataFrame, *, key: str, time: str, quiet: int, max_delay: i
     Rows of a key stream by in order, with its open session as the only state: a gap of ``quiet``, or ``max_delay`` since the
     session's first event, begins another. Equal times are one moment; null times are left out.
     """
-    rows = events.select(key, F.col(time).cast("long").alias("t")).where("t is not null").groupBy(key, "t").agg(F.count("*").alias("n"))
+    rows = events.select(key, F.col(time).cast("long").alias("t"), F.lit(1).cast("long").alias("n")).where("t is not null")
     kind = rows.schema[key].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def sessions(events: DataFrame, *, key: str, time: str, quiet: int, max_delay: i
         for b in batches:
             done = []
             for k, t, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now and now[0] == k and t - now[2] < quiet and t - now[1] < max_delay:
+                if now and now[0] == k and (t == now[2] or t - now[2] < quiet and t - now[1] < max_delay):
                     now = (k, now[1], t, now[3] + n)
                 else:
                     done += [now] if now else []
