@@ -129,7 +129,7 @@ def test_stages_in_a_row(spark, texts):
 def test_run_gives_pieces_of_the_kept_documents(spark):
     spark.conf.set(corpus_pipeline.KEY, pii.TEST_KEY)
     try:
-        one, two = (sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
+        one, two = (sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     finally:
         spark.conf.unset(corpus_pipeline.KEY)
     assert one and one == two
