@@ -75,14 +75,18 @@ def _ball(radius: int) -> Column:
 
 
 def links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints that leave the same components as all pairs at distance 3 or less."""
+    """(a, b): links between distinct fingerprints that leave the same components as all pairs at distance 3 or less.
+
+    Spark doesn't count the rows that ``explode`` makes, so it would take a side with a ball for each fingerprint for a small
+    table and send it through the driver: such joins are merges.
+    """
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     index = fps.select("fp", F.explode(F.array(high, low.bitwiseOR(F.lit(1 << 32)))).alias("key"))  # bit 32 names the segment
     other = lambda fp: F.when(F.col("key") < (1 << 32), F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
     hot = materialize(index.groupBy("key").count().where(F.col("count") > bucket).select("key"), "hot")
     probes = index.select(F.col("fp").alias("a"), "key", F.explode(_ball(1)).alias("x")).select("a", F.col("key").bitwiseXOR(F.col("x.m")).alias("key"))
     table = index.withColumnRenamed("fp", "b")
-    near = probes.join(table.join(hot, "key", "left_anti"), "key")
+    near = probes.join(table.join(hot, "key", "left_anti").hint("merge"), "key")
     near = near.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)).select("a", "b")
     if hot.isEmpty():
         return near
@@ -93,7 +97,7 @@ def links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     own = F.when(F.col("key") < (1 << 32), F.shiftrightunsigned("a", 32)).otherwise(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32)))
     around = F.when(own == F.col("key"), _ball(2)).otherwise(_ball(1))
     seekers = seekers.select("key", "a", F.explode(around).alias("x")).select("key", other("a").bitwiseXOR(F.col("x.m")).alias("word"), "a")
-    return near.union(seekers.join(members, ["key", "word"]).where("a <> b").select("a", "b"))
+    return near.union(seekers.join(members.hint("merge"), ["key", "word"]).where("a <> b").select("a", "b"))
 
 
 def _classed(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

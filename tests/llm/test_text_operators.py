@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from lamina import scratch
 from lamina.llm import classifier, components, decontaminate, pii, quality_rules, simhash, similar, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, words string, row string, fp string, rid string"
@@ -259,6 +260,17 @@ def test_links_lose_no_pair(spark, bucket):
     assert {x: roots.get(x, x) for x in signed} == want
 
 
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_no_ball_goes_through_the_driver(spark, bucket):
+    """A written table of fingerprints is small, what balls make of it isn't: only lists of crowded segments may be broadcast."""
+    fps = scratch.materialize(spark.range(3000).select(F.col("id").alias("fp")), "few")
+    got = simhash.links(fps, bucket=bucket)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    inner = re.findall(r"(\w+Join)(?: \[[^\n]*\],)+ Inner", plan)
+    assert inner and set(inner) == {"SortMergeJoin"}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {(r.node, r.root) for r in components.components(chain).collect()} == {(k, 0) for k in range(1, 201)}
