@@ -11,6 +11,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import keys
 
@@ -55,6 +56,21 @@ def page(table: DataFrame, pk: str, *, begins_with: str = "", start: str | None
     return rows, token(pk, rows[-1]["sk"]) if len(found) > limit else None
 
 
+def pages(table: DataFrame, pk: str, *, begins_with: str = "", limit: int = 100) -> DataFrame:
+    """All rows that ``page`` gives when its tokens are followed to the end, with the number of their page, from 0. ``table`` is one that ``read`` gave.
+
+    A file holds its rows in their order and no file reaches into another's range, so a row's place is that in its file, behind what
+    the files before it hold: one pass over the range for the files, a row each, and one for the rows; nothing is sorted or collected.
+    """
+    rows = table.where((F.col("pk") == pk) & F.col("sk").startswith(begins_with))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = rows.groupBy("__file").agg(F.min("sk").alias("__sk"), F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.orderBy("__sk").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__file", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    placed = rows.join(F.broadcast(files), "__file")  # a row for each file
+    return placed.withColumn("page", F.floor((F.col("__at") + F.col("__shift")) / limit)).drop("__file", "__at", "__shift")
+
+
 def cached_paths(cache: DataFrame, path: str) -> None:
     """The newest row of each path, by repository and path."""
     write(cache, path, keys.named(keys.REPO, F.col("repository_id")), keys.named(keys.CACHE, F.col("path")))

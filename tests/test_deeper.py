@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import hashing, keys
 from lamina.operators import history, index_tables, state, tree, walk
+from lamina.plans.queries import QUERIES
 
 T0 = datetime(2024, 1, 1)
 
@@ -116,6 +117,26 @@ def test_pages_chain_and_filters_reach_the_scan(spark, tmp_path):
     assert table.where("pk is null").count() == 0 and table.count() == 300
 
 
+@pytest.mark.parametrize(("parts", "limit"), [(1, 6), (7, 6), (7, 1), (7, 25), (3, 1000)])
+def test_all_pages_at_once_are_those_that_chain(spark, tmp_path, parts, limit):
+    rows = spark.createDataFrame([(k % 2, f"d{k % 4}/f{k:03}", k) for k in range(200)], "repository_id long, path string, object_id long")
+    index_tables.write(rows, f"{tmp_path}/i", F.concat(F.lit("REPO#"), F.col("repository_id")), F.concat(F.lit("CACHE#"), F.col("path")), parts=parts)
+    table = index_tables.read(spark, f"{tmp_path}/i")
+    want, start, n = [], None, 0
+    while n == 0 or start is not None:
+        found, start = index_tables.page(table, "REPO#1", begins_with="CACHE#d3/", start=start, limit=limit)
+        want, n = want + [(n, r.sk, r.object_id) for r in found], n + 1
+    got = index_tables.pages(table, "REPO#1", begins_with="CACHE#d3/", limit=limit)
+    assert sorted(tuple(r) for r in got.select("page", "sk", "object_id").collect()) == want and len(want) == 50
+    assert got.columns == [*table.columns, "page"] and index_tables.pages(table, "none").count() == 0
+
+
+def test_the_plan_of_index_pages_does_not_grow_with_the_pages(spark):
+    got = QUERIES["index_pages"](spark, "/root/testdata/sf0.1")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    assert got.agg(F.max("page")).first()[0] == 10
+
+
 def test_index_of_sources_leaves_own_snapshots_out(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, 3, 40), (1, 6, None, None), (1, 7, 3, 9)], "repository_id long, snapshot_id long, source_machine_id int, source_snapshot_id long")
     index_tables.by_source(rows, f"{tmp_path}/s")
