@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +74,16 @@ def put_once(spark: SparkSession, path: str, text: str) -> None:
     if fs.exists(at) or not fs.rename(draft, at):
         fs.delete(draft, False)
         raise FileExistsError(path)
+
+
+def mover(spark: SparkSession, folder: str) -> Callable[[str, str], None]:
+    """A function that moves a file to a new name in ``folder``, in one step."""
+    fs, at = _place(spark, folder)
+    fs.mkdirs(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def move(source: str, name: str) -> None:
+        if not fs.rename(path(source), path(f"{folder}/{name}")):
+            raise FileNotFoundError(source)
+
+    return move

@@ -71,6 +71,32 @@ def test_a_stop_between_commits_is_taken_up(spark, tmp_path, monkeypatch):
     assert made >= 8 and commits.read(spark, base, SCHEMA).count() == commits.read(spark, base, SCHEMA).distinct().count() == 40
 
 
+def test_many_commits_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "FEW", 4)
+    base, commit, n = str(tmp_path / "t"), commits._commit, [0]
+    commits.write(rows_of(spark, 8), base, "few", batch_rows=4)
+
+    def some(*args):
+        n[0] += 1
+        if n[0] == 3:
+            raise RuntimeError("stopped")
+        commit(*args)
+
+    monkeypatch.setattr(commits, "_commit", some)
+    with pytest.raises(RuntimeError):
+        commits.write(rows_of(spark, 500), base, "many", batch_rows=7)
+    assert 8 < commits.read(spark, base, SCHEMA).count() <= 8 + 14  # two whole commits
+    made, before = commits.write(rows_of(spark, 500), base, "many", batch_rows=7), sorted(os.listdir(f"{base}/data/many"))
+    assert sum(x.endswith(".parquet") for x in before) <= 4  # a file for each task
+    of_many = [files for name, files in sizes(base).items() if name.startswith("many.")]
+    assert made == len(of_many) >= 72
+    rows = spark.read.parquet(f"{base}/data/many").groupBy(F.col("_metadata.file_name"), commits.NUMBER).count().collect()
+    assert max(r[2] for r in rows) <= 7 and {f"many/{r[0]}\t{r[1]}" for r in rows} == {f for files in of_many for f in files}
+    got = sorted(tuple(r) for r in commits.read(spark, base, SCHEMA).collect())
+    assert got == sorted([(f"f{k}", k) for k in range(8)] + [(f"f{k}", k) for k in range(500)])
+    assert commits.write(rows_of(spark, 500), base, "many", batch_rows=7) == made and len(sizes(base)) == made + len([x for x in sizes(base) if x.startswith("few.")])
+
+
 def test_difference_of_listings():
     before, now = {"a": [1, 1], "b": [1, 1], "c": [2, 2]}, {"b": [1, 1], "c": [2, 3], "d": [4, 4]}
     assert [*events.difference(before, now)] == [("a", "remove", 1, 1), ("c", "modify", 2, 3), ("d", "create", 4, 4)]
