@@ -22,6 +22,8 @@ from ..scratch import delete, exists, mover, names, put_once
 
 #: Commits of a job that have files of their own.
 FEW = 1000
+#: Manifests that a task drafts, about: small rows, but a file each.
+DRAFTS = 100
 #: The column that tells a row's commit in a file which commits share.
 NUMBER = "__commit"
 
@@ -78,9 +80,10 @@ def _many(rows: DataFrame, base: str, job: str, batch_rows: int) -> DataFrame:
     rows.withColumn(NUMBER, F.floor(in_task / batch_rows)).write.parquet(folder)
     there = spark.read.schema(StructType([*rows.schema, StructField(NUMBER, LongType())])).parquet(folder)
     tops = there.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.max(NUMBER).alias("n"))
-    if (tops.agg(F.sum(F.col("n") + 1)).first()[0] or 0) > FEW:
+    n = tops.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    if n > FEW:
         numbered = tops.select("f", F.explode(F.sequence(F.lit(0), "n")).alias("k"))
-        return numbered.select(F.concat(F.lit(f"{job}/"), "f", F.lit("\t"), F.col("k").cast("string")).alias("value")).repartition("value")
+        return numbered.select(F.concat(F.lit(f"{job}/"), "f", F.lit("\t"), F.col("k").cast("string")).alias("value")).repartition(n // DRAFTS + 1, "value")
     there.drop(NUMBER).write.option("maxRecordsPerFile", batch_rows).parquet(each)
     delete(spark, folder)
     return _texts(spark, [[f"{job}.each/{f}" for f in files] for files in _dealt(spark, rows.schema, each, batch_rows)])

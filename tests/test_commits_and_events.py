@@ -73,6 +73,7 @@ def test_a_stop_between_commits_is_taken_up(spark, tmp_path, monkeypatch):
 
 def test_many_commits_share_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(commits, "FEW", 4)
+    monkeypatch.setattr(commits, "DRAFTS", 20)
     base, commit, n = str(tmp_path / "t"), commits._commit, [0]
     commits.write(rows_of(spark, 8), base, "few", batch_rows=4)
 
@@ -90,6 +91,7 @@ def test_many_commits_share_files(spark, tmp_path, monkeypatch):
     assert sum(x.endswith(".parquet") for x in before) <= 4  # a file for each task
     of_many = [files for name, files in sizes(base).items() if name.startswith("many.")]
     assert made == len(of_many) >= 72
+    assert len({name.split("-")[1] for name in sizes(base) if name.startswith("many.")}) > 1  # drafted by several tasks
     rows = spark.read.parquet(f"{base}/data/many").groupBy(F.col("_metadata.file_name"), commits.NUMBER).count().collect()
     assert max(r[2] for r in rows) <= 7 and {f"many/{r[0]}\t{r[1]}" for r in rows} == {f for files in of_many for f in files}
     got = sorted(tuple(r) for r in commits.read(spark, base, SCHEMA).collect())
